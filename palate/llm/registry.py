@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, packing)
 
 
 def queries():
