@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, token_files
 
-_MODULES = (exact_dedup, packing)
+_MODULES = (exact_dedup, packing, token_files)
 
 
 def queries():
