@@ -82,8 +82,9 @@ class WordEncoder:
             found = [memo[w] if x is None else x for w, x in zip(distinct, found, strict=True)]
         return found
 
-    def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For each slice of rows: first and last row, the ids of all its rows and the n + 1 offsets of each."""
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """For each slice of rows: the ids of its distinct pieces, which piece stands where, the n + 1 offsets
+        of each row among those."""
         _, offsets = text_bytes(texts)
         for a, b in slices(offsets, SLICE_BYTES):
             lists = pc.ascii_split_whitespace(texts.slice(a, b - a).fill_null("").cast(pa.large_string()))
@@ -98,8 +99,7 @@ class WordEncoder:
             bounds = lists.offsets.to_numpy()
             if ended.any():  # the point or comma follows its word as a piece of its own
                 index, bounds = self._with_points(words, ended, index, bounds - bounds[0], len(distinct))
-            ids, at = gather([*self.words(distinct), *self.words([".", ","])], index)
-            yield a, b, ids, at[bounds - bounds[0]]
+            yield [*self.words(distinct), *self.words([".", ","])], index, bounds - bounds[0]
 
     @staticmethod
     def _with_points(words, ended, index, bounds, n):
@@ -151,8 +151,9 @@ def encoder(path: str) -> WordEncoder:
 def encoded_rows(path: str, texts: pa.Array, end: int | None = None) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text in turn, with ``end`` after each."""
     tail = b"" if end is None else end.to_bytes(4, "little")
-    for _, _, ids, at in encoder(path).column(texts):
+    for found, index, bounds in encoder(path).pieces(texts):
+        ids, at = gather(found, index)
         raw = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
-        cuts = (4 * at).tolist()
+        cuts = (4 * at[bounds]).tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield bytes(raw[a:b]) + tail
