@@ -3,8 +3,8 @@
 A text is a row of symbols, one per byte: the byte itself and one bit that says whether the ``GRAM`` bytes
 beginning there also began at most ``LAGS`` bytes earlier. ``FILTERS`` learned filters, each ``WIDTH`` symbols wide, slide over
 the whole text, a byte at a time. The text is cut into chunks of ``CHUNK`` positions whose windows reach into
-the next chunk, so every byte of every text is seen (after the last come pads, which
-weigh nothing); each chunk keeps the maximum of each filter. The mean and
+the next chunk, so every byte of every text is seen (a last chunk that is not full
+ends in pads, which weigh nothing); each chunk keeps the maximum of each filter. The mean and
 the maximum over a text's chunks go into one logistic unit: the probability that the text's label is 1.
 
 The fit is plain gradient descent (Adam) through the maxima, with fixed seed and number of steps, in one task,
@@ -66,11 +66,12 @@ def chunk_maxima(model: Model, syms: np.ndarray, first: np.ndarray, size: np.nda
     parts = np.maximum(1, -(-size // CHUNK))
     at = np.concatenate([[0], np.cumsum(parts)])
     starts = np.repeat(first, parts) + CHUNK * (np.arange(at[-1]) - np.repeat(at[:-1], parts))
+    ends = np.minimum(starts + CHUNK, np.repeat(first + size + 1, parts))
     n = len(syms) - WIDTH + 1
     act = np.take(model["filters"][0], syms[:n], axis=0)
     for k in range(1, WIDTH):
         act += np.take(model["filters"][k], syms[k : n + k], axis=0)
-    return np.maximum.reduceat(act, starts, axis=0), at
+    return np.maximum.reduceat(act, np.stack([starts, ends], 1).ravel(), axis=0)[::2], at
 
 
 def combine(model: Model, maxima: np.ndarray, at: np.ndarray) -> np.ndarray:
