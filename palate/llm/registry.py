@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, token_files
+from . import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, token_files
 
-_MODULES = (quality, exact_dedup, bpe, near_dedup, token_files, packing)
+_MODULES = (quality, exact_dedup, bpe, near_dedup, substring_dedup, token_files, packing)
 
 
 def queries():
