@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,9 @@ def with_text(docs: DataFrame) -> DataFrame:
 def in_fold(doc_id, folds: int):
     """True for rows whose crc32(doc_id as text) is a multiple of ``folds`` (null ids: as text '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == 0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with: its cleaner follows the collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, token_files
+from . import (
+    bpe,
+    exact_dedup,
+    language_model,
+    near_dedup,
+    packing,
+    quality,
+    substring_dedup,
+    token_files,
+)
 
-_MODULES = (quality, exact_dedup, bpe, near_dedup, substring_dedup, token_files, packing)
+_MODULES = (quality, exact_dedup, bpe, near_dedup, substring_dedup, language_model, token_files, packing)
 
 
 def queries():
