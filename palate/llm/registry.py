@@ -6,14 +6,28 @@ from . import (
     bpe,
     exact_dedup,
     language_model,
+    licences,
     near_dedup,
+    neighbours,
     packing,
     quality,
     substring_dedup,
     token_files,
 )
 
-_MODULES = (quality, exact_dedup, bpe, near_dedup, substring_dedup, language_model, token_files, packing)
+_MODULES = (
+    quality,
+    exact_dedup,
+    bpe,
+    neighbours,
+    near_dedup,
+    substring_dedup,
+    language_model,
+    token_files,
+    licences,
+    packing,
+)
+
 
 
 def queries():
