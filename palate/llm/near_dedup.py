@@ -12,8 +12,10 @@ every slot of the text has one, so a run seldom costs more than one or two.
 Candidates. ``BANDS`` bands of ``ROWS`` slots; texts that agree in a band share a bucket. Buckets are worked
 off in rounds, never by all their pairs. First each bucket's members are verified against one pivot and links
 grow into components. Then only buckets that hold several components go on: up to ``AT_ONCE`` members outside
-the bucket's largest component are verified against all members of other components and leave the bucket. So
-every pair of a bucket ends up verified, or inside one component, with no cap on members.
+the bucket's largest component are verified against all members of other components and leave the bucket. There,
+texts count their runs that any other text still open holds too; a pair cannot have more in common than the
+smaller count of the two, so most pairs need no verifying. Every pair of a bucket ends up verified, excluded by
+that bound, or inside one component, with no cap on members.
 
 Results: one row per document with its class (the smallest doc_id linked to it, directly or through others).
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import slices, text_bytes
-from ._store import read_table, save
+from ._store import read_table, release, save
 from ._words import U, mix, padded, runs, sequence_hash, words
 
 RUN, SLOTS, ROWS = 5, 128, 4
@@ -248,8 +250,10 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
     to_pivot = open_members.where((F.col("fp") != F.col("pivot")) & near)
     pairs = save(_ordered(to_pivot.select(F.col("fp").alias("x"), F.col("pivot").alias("y"))).distinct(), "pairs")
     labels = merged(nodes.select("fp", F.col("fp").alias("label")), save(verified(pairs, sets, similarity), "links"))
+    release(docs.sparkSession)
     done = pairs
-    members = open_members.where(F.col("fp") != F.col("pivot")).select("band", "key", "fp", "n")
+    members = open_members.where(F.col("fp") != F.col("pivot")).select("band", "key", "fp", "n", F.col("n").alias("s"))
+    bounded = False
     while True:
         # only buckets with several components go on; there, those outside the largest one are the pivots
         told = members.join(labels, "fp")
@@ -261,22 +265,40 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
         )
         members = save(
             told.join(several, ["band", "key"]).select(
-                "band", "key", "fp", "n", "label", (F.col("label") != F.col("most.label")).alias("outside")
+                "band", "key", "fp", "n", "s", "label", (F.col("label") != F.col("most.label")).alias("outside")
             ),
             "buckets",
         )
         if members.isEmpty():
             return labels
+        if not bounded:
+            share = save(shareable(sets, members), "shareable")
+            members = members.drop("s", "label", "outside").join(share, "fp").where(F.col("s") >= similarity * F.col("n") - 1e-9)
+            members, bounded = save(members, "buckets"), True
+            continue
         order = Window.partitionBy("band", "key").orderBy("fp")
         outside = members.where("outside").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= AT_ONCE)
-        pivots = outside.select("band", "key", F.col("fp").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-        to_pivots = members.join(pivots, ["band", "key"]).where((F.col("label") != F.col("pivot_label")) & near)
+        pivots = outside.select(
+            "band", "key", F.col("fp").alias("pivot"), F.col("n").alias("pivot_n"), F.col("s").alias("pivot_s"), F.col("label").alias("pivot_label")
+        )
+        # no two texts have more in common than the smaller share of either
+        most = F.least("s", "pivot_s")
+        can = near & (most >= similarity * (F.col("n") + F.col("pivot_n") - most) - 1e-9)
+        to_pivots = members.join(pivots, ["band", "key"]).where((F.col("label") != F.col("pivot_label")) & can)
         pairs = _ordered(to_pivots.select(F.col("fp").alias("x"), F.col("pivot").alias("y"))).distinct()
         pairs = save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = merged(labels, save(verified(pairs, sets, similarity), "links"))
         done = done.union(pairs)
         used = pivots.select("band", "key", F.col("pivot").alias("fp"))
-        members = members.select("band", "key", "fp", "n").join(used, ["band", "key", "fp"], "left_anti")
+        release(docs.sparkSession)
+        members = members.select("band", "key", "fp", "n", "s").join(used, ["band", "key", "fp"], "left_anti")
+
+
+def shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(fp, s): how many of a text's runs any other text of ``members`` holds too."""
+    own = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("runs").alias("run"))
+    twice = own.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run")
+    return own.join(twice, "run", "left_semi").groupBy("fp").agg(F.count("*").alias("s"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
