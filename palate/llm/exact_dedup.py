@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import read_table, save, with_text
+from ._store import read_table, release, save, with_text
 
 SALTS = 8
 
@@ -60,6 +60,7 @@ def exact_duplicates(
     """(doc_id, row, keep_id, group_size, kept) and the text's digest, for every row of ``docs``."""
     rows = _rows(docs, digest)
     slim = save(groups(rows, salts).select("digest", "keep", "n"), "exact-groups")
+    release(docs.sparkSession)
     shared = slim.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if shared.isEmpty():
         found = rows.select("digest", "who").join(slim, "digest")
@@ -79,9 +80,8 @@ def exact_duplicates(
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns unchanged."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = exact_duplicates(docs).where("kept").select(F.col("row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").drop("__row")
+    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

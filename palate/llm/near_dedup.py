@@ -140,7 +140,8 @@ def text_key():
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, fp, n, bands) of every row: fp is null and bands empty where there are no runs."""
+    """(doc_id, tkey, row, fp, n, bands) of every row: fp is null where there are no runs. The row number hangs on
+    the partition and the place in it, which a scan of files repeats exactly."""
 
     def run(batches):
         for batch in batches:
@@ -155,16 +156,17 @@ def signed(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0).slice(a, n),
                         batch.column(1).slice(a, n),
+                        batch.column(3).slice(a, n),
                         pa.array(fps, pa.binary()),
                         pa.array(np.bincount(row, weights=weight, minlength=n).astype(np.int64)),
                         lists,
                     ],
-                    names=["doc_id", "tkey", "fp", "n", "bands"],
+                    names=["doc_id", "tkey", "row", "fp", "n", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(
-        run, "doc_id long, tkey long, fp binary, n long, bands array<long>"
+    return rows.select("doc_id", text_key().alias("tkey"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        run, "doc_id long, tkey long, row long, fp binary, n long, bands array<long>"
     )
 
 
@@ -318,10 +320,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, tkey, class_id, class_size, kept) for every row of ``docs`` (doc_id, text, ...)."""
+    """(doc_id, row, class_id, class_size, kept) for every row of ``docs`` (doc_id, text, ...)."""
     rows = save(signed(docs), "signatures")
     labels = linked(docs, rows, similarity)
-    own = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "tkey", "fp", "row")
+    own = rows.select("doc_id", "fp", "row")
     told = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = told.where("label IS NOT NULL").groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
@@ -329,13 +331,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     alone = F.col("label").isNull()
     return grouped.select(
         "doc_id",
-        "tkey",
+        "row",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
 
 
+def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class, all its columns unchanged."""
+    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "kept")
