@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,5 +53,7 @@ def in_fold(doc_id, folds: int):
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done with: its cleaner follows the collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round finds what the first one's finalisers let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

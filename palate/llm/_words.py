@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ._arrow import SLICE_BYTES, slices
+
 U = np.uint64
 _FACTOR = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -62,6 +64,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     d = data[offsets[0] : offsets[-1]]
     rows = offsets - offsets[0]
     n = len(d)
+    if n > SLICE_BYTES and len(rows) > 2:  # piece by piece: the powers stay few
+        parts = [words(data, offsets[a : b + 1], lower) for a, b in slices(offsets)]
+        shift = [int(offsets[a] - offsets[0]) for a, _ in slices(offsets)]
+        before = np.cumsum([0, *(len(p.hashes) for p in parts)])
+        return Words(
+            np.concatenate([p.hashes for p in parts]),
+            np.concatenate([p.begin + s for p, s in zip(parts, shift, strict=True)]),
+            np.concatenate([p.end + s for p, s in zip(parts, shift, strict=True)]),
+            np.concatenate([*(p.bounds[:-1] + c for p, c in zip(parts, before, strict=False)), before[-1:]]),
+        )
     if not n:
         nothing = np.zeros(0, np.int64)
         return Words(np.zeros(0, U), nothing, nothing, np.zeros(len(rows), np.int64))

@@ -12,7 +12,7 @@ Counting and looking up. Words are counted exactly; those above the count that l
 go to all tasks as a table of bounded size. Everything else is asked for: a block of documents (at most
 ``BLOCK_BYTES`` of text, or one longer text) sends each distinct pair of neighbouring words, and each word
 beyond the table, once, with how often it holds it. The questions meet by key, which gives the corpus's counts,
-and go back to the blocks that need an answer: not to those whose single occurrence is the only one there is.
+and go back to the blocks that need an answer: not to those that hold all there are themselves.
 So no key gathers more rows than there are blocks, however common it is.
 
 The scan is cut into the same blocks each time, so ``docs`` has to come from files or a saved table.
@@ -181,12 +181,12 @@ def questions(docs: DataFrame, table: Table) -> DataFrame:
 
 def answers(asked: DataFrame) -> DataFrame:
     """(k, p, total, held, first, h, w): the corpus's counts of what each block asked for. Left out are keys that
-    training never holds, or that only this block holds and once; ``first`` marks one row of each key."""
+    training holds in this block only, or not at all; ``first`` marks one row of each key."""
     w = Window.partitionBy("k")
     told = asked.select(
         "*", F.sum("c").over(w).alias("total"), F.sum("e").over(w).alias("held"), (F.min("p").over(w) == F.col("p")).alias("first")
     )
-    useful = (F.col("total") >= 1) & ~((F.col("total") == 1) & (F.col("c") == 1))
+    useful = F.col("total") != F.col("c")
     return told.where(useful | (F.col("first") & (F.col("held") > 0))).select(
         "k", "p", F.col("total").cast("int"), F.col("held").cast("int"), "first", "h", "w"
     )
@@ -294,11 +294,9 @@ class Model:
 
 
 def _look_up(keys: np.ndarray, train: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The corpus's counts of ``keys``: as answered, or else 1 if this block's training documents hold it."""
-    own = keys[train]
+    """The corpus's counts of ``keys``: as answered, or else this block's own."""
     distinct, index = np.unique(keys, return_inverse=True)
-    count = np.zeros(len(distinct), np.int64)
-    count[index[train] if len(own) else np.zeros(0, np.int64)] = 1
+    count = np.bincount(index[train], minlength=len(distinct))
     if len(k):
         at = np.minimum(np.searchsorted(k, distinct), len(k) - 1)
         there = k[at] == distinct
@@ -345,7 +343,7 @@ def scored(docs: DataFrame) -> tuple[DataFrame, Model]:
         return pa.table([left.column("doc_id"), left.column("fold"), *(pa.array(x) for x in found)], schema=_SCORES_ARROW)
 
     rows = folded(docs).mapInArrow(numbered, "p long, doc_id long, text string, fold int")
-    told = answered.where("total >= 1").select("p", "k", "total")
+    told = answered.select("p", "k", "total")
     return rows.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(run, SCORES), model
 
 
