@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import relational
+
+_MODULES = (relational,)
+
 
 def queries():
-    return {}
+    return {name: run for m in _MODULES for name, run in m.queries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
