@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import kernels, relational
 
-_MODULES = (relational,)
+_MODULES = (relational, kernels)
 
 
 def queries():
