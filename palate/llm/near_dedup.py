@@ -11,11 +11,19 @@ every slot of the text has one, so a run seldom costs more than one or two.
 
 Candidates. ``BANDS`` bands of ``ROWS`` slots; texts that agree in a band share a bucket. Buckets are worked
 off in rounds, never by all their pairs. First each bucket's members are verified against one pivot and links
-grow into components. Then only buckets that hold several components go on: up to ``AT_ONCE`` members outside
-the bucket's largest component are verified against all members of other components and leave the bucket. There,
-texts count their runs that any other text still open holds too; a pair cannot have more in common than the
-smaller count of the two, so most pairs need no verifying. Every pair of a bucket ends up verified, excluded by
-that bound, or inside one component, with no cap on members.
+grow into components. Then only buckets that hold several components go on. Their texts' runs are counted among
+them, and what two texts can have in common splits in two:
+
+- Runs that at most ``RARE`` texts hold. Texts that share such runs are paired through them, a bounded number
+  of partners for each run, and pairs whose common rare runs and frequent runs could suffice are verified.
+- Runs that more texts hold. All other pairs have only these in common, at most the smaller count of the two,
+  so texts with too few leave the buckets. The others take turns as pivots: first the text of each bucket with
+  the largest share of frequent runs, then up to ``AT_ONCE`` members outside the bucket's largest component.
+  Pivots are verified against the members of other components that the bound allows, and leave the bucket; a
+  pair that meets in several bands is looked at in the first.
+
+Every pair of a bucket ends up verified, excluded by that bound, or inside one component, with no cap on
+members or partners.
 
 Results: one row per document with its class (the smallest doc_id linked to it, directly or through others).
 
@@ -39,6 +47,7 @@ RUN, SLOTS, ROWS = 5, 128, 4
 BANDS = SLOTS // ROWS
 PIVOTS = 4
 AT_ONCE = 64
+RARE = 8
 _STEP = U(0x9E3779B97F4A7C15)
 _EXTRA = float(np.log(SLOTS) + 2)
 
@@ -254,53 +263,94 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
     labels = merged(nodes.select("fp", F.col("fp").alias("label")), save(verified(pairs, sets, similarity), "links"))
     release(docs.sparkSession)
     done = pairs
-    members = open_members.where(F.col("fp") != F.col("pivot")).select("band", "key", "fp", "n", F.col("n").alias("s"))
-    bounded = False
+    members, _ = _several(open_members.where(F.col("fp") != F.col("pivot")).select("band", "key", "fp", "n"), labels)
+    if members.isEmpty():
+        return labels
+    lists = save(holders(sets, members), "holders")
+    share = save(shares(sets, members, lists), "shares")
+    pairs = rare_pairs(lists, share, labels, similarity)
+    pairs = save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    labels = merged(labels, save(verified(pairs, sets, similarity), "links"))
+    done = done.union(pairs)
+    release(docs.sparkSession)
+    # from here on only the runs that many texts hold can link
+    share = share.where(F.col("f") >= similarity * F.col("n") - 1e-9)
+    several, _ = _several(members.select("band", "key", "fp", "n"), labels)
+    own = rows.join(share.select("fp", "f"), "fp").groupBy("fp").agg(F.first("bands").alias("bands"), F.first("f").alias("f"))
+    members = save(several.drop("label", "outside").join(own, "fp"), "buckets")
+    at_once = 1  # the middle of each bucket alone, then ever more, so that rounds stay few
     while True:
-        # only buckets with several components go on; there, those outside the largest one are the pivots
-        told = members.join(labels, "fp")
-        shares = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
-        several = (
-            shares.groupBy("band", "key")
-            .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
-            .where("labels > 1")
-        )
-        members = save(
-            told.join(several, ["band", "key"]).select(
-                "band", "key", "fp", "n", "s", "label", (F.col("label") != F.col("most.label")).alias("outside")
-            ),
-            "buckets",
-        )
-        if members.isEmpty():
+        members, empty = _several(members, labels)
+        if empty:
             return labels
-        if not bounded:
-            share = save(shareable(sets, members), "shareable")
-            members = members.drop("s", "label", "outside").join(share, "fp").where(F.col("s") >= similarity * F.col("n") - 1e-9)
-            members, bounded = save(members, "buckets"), True
-            continue
-        order = Window.partitionBy("band", "key").orderBy("fp")
-        outside = members.where("outside").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= AT_ONCE)
-        pivots = outside.select(
-            "band", "key", F.col("fp").alias("pivot"), F.col("n").alias("pivot_n"), F.col("s").alias("pivot_s"), F.col("label").alias("pivot_label")
+        order = Window.partitionBy("band", "key").orderBy((F.col("f") / F.col("n")).desc(), "fp")
+        turn = members if at_once == 1 else members.where("outside")
+        turn = turn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_once)
+        at_once = max(AT_ONCE, 2 * at_once)
+        pivots = turn.select(
+            "band", "key", F.col("fp").alias("pivot"), F.col("n").alias("pivot_n"), F.col("f").alias("pivot_f"),
+            F.col("label").alias("pivot_label"), F.col("bands").alias("pivot_bands"),
         )
-        # no two texts have more in common than the smaller share of either
-        most = F.least("s", "pivot_s")
+        most = F.least("f", "pivot_f")
         can = near & (most >= similarity * (F.col("n") + F.col("pivot_n") - most) - 1e-9)
-        to_pivots = members.join(pivots, ["band", "key"]).where((F.col("label") != F.col("pivot_label")) & can)
+        meet = F.expr("array_position(zip_with(bands, pivot_bands, (x, y) -> x = y), true) = band + 1")
+        to_pivots = members.join(pivots, ["band", "key"]).where((F.col("label") != F.col("pivot_label")) & can & meet)
         pairs = _ordered(to_pivots.select(F.col("fp").alias("x"), F.col("pivot").alias("y"))).distinct()
         pairs = save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = merged(labels, save(verified(pairs, sets, similarity), "links"))
         done = done.union(pairs)
         used = pivots.select("band", "key", F.col("pivot").alias("fp"))
         release(docs.sparkSession)
-        members = members.select("band", "key", "fp", "n", "s").join(used, ["band", "key", "fp"], "left_anti")
+        members = members.drop("label", "outside").join(used, ["band", "key", "fp"], "left_anti")
+
+
+def _several(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+    """``members`` of the buckets that hold several components, with their label and whether it is another than
+    the bucket's largest; and whether there is none."""
+    told = members.join(labels, "fp")
+    parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    several = (
+        parts.groupBy("band", "key")
+        .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
+        .where("labels > 1")
+    )
+    outside = (F.col("label") != F.col("most.label")).alias("outside")
+    found = save(told.join(several, ["band", "key"]).select(*members.columns, "label", outside), "buckets")
+    return found, found.isEmpty()
 
 
-def shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(fp, s): how many of a text's runs any other text of ``members`` holds too."""
+def _runs_of(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, run) of the texts in ``members``, and (run, c): how many of them hold each run that several do."""
     own = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("runs").alias("run"))
-    twice = own.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run")
-    return own.join(twice, "run", "left_semi").groupBy("fp").agg(F.count("*").alias("s"))
+    return own, own.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+
+
+def holders(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(who, m): the sets of 2 to ``RARE`` texts that alone hold some run, and how many such runs there are."""
+    own, held = _runs_of(sets, members)
+    rare = own.join(held.where(F.col("c") <= RARE), "run")
+    return rare.groupBy("run").agg(F.sort_array(F.collect_list("fp")).alias("who")).groupBy("who").agg(F.count("*").alias("m"))
+
+
+def shares(sets: DataFrame, members: DataFrame, lists: DataFrame) -> DataFrame:
+    """(fp, n, f) of the texts that hold runs of others: all their runs, and those that more than ``RARE`` hold."""
+    own, held = _runs_of(sets, members)
+    often = own.join(held.where(F.col("c") > RARE), "run", "left_semi").groupBy("fp").agg(F.count("*").alias("f"))
+    rare = lists.select(F.explode("who").alias("fp")).distinct().withColumn("f", F.lit(0).cast("long"))
+    size = members.select("fp", "n").distinct()
+    return size.join(often.union(rare).groupBy("fp").agg(F.sum("f").alias("f")), "fp").select("fp", "n", "f")
+
+
+def rare_pairs(lists: DataFrame, share: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of different components that share a rare run and can have enough in common."""
+    lone = lists.select("m", "who", F.explode("who").alias("a")).select("a", "m", F.explode("who").alias("b"))
+    common = lone.where("a < b").groupBy("a", "b").agg(F.sum("m").alias("rare"))
+    own = share.join(labels, "fp")
+    side = lambda x: own.select(*(F.col(c).alias(x if c == "fp" else f"{c}_{x}") for c in own.columns))
+    most = F.col("rare") + F.least("f_a", "f_b")
+    can = most >= similarity * (F.col("n_a") + F.col("n_b") - most) - 1e-9
+    both = common.join(side("a"), "a").join(side("b"), "b")
+    return both.where((F.col("label_a") != F.col("label_b")) & can).select("a", "b")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
