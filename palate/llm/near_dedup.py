@@ -280,7 +280,7 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
     members = save(several.drop("label", "outside").join(own, "fp"), "buckets")
     at_once = 1  # the middle of each bucket alone, then ever more, so that rounds stay few
     while True:
-        members, empty = _several(members, labels)
+        members, empty = _several(members, labels, similarity)
         if empty:
             return labels
         order = Window.partitionBy("band", "key").orderBy((F.col("f") / F.col("n")).desc(), "fp")
@@ -304,18 +304,23 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
         members = members.drop("label", "outside").join(used, ["band", "key", "fp"], "left_anti")
 
 
-def _several(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+def _several(members: DataFrame, labels: DataFrame, similarity: float | None = None) -> tuple[DataFrame, bool]:
     """``members`` of the buckets that hold several components, with their label and whether it is another than
-    the bucket's largest; and whether there is none."""
+    the bucket's largest; and whether there is none. Given ``similarity``, texts go whose frequent runs (f) are too
+    few for any partner, even one as short as the bucket's shortest text."""
     told = members.join(labels, "fp")
-    parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.min("n").alias("shortest"))
     several = (
         parts.groupBy("band", "key")
-        .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
+        .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.min("shortest").alias("shortest"))
         .where("labels > 1")
     )
+    if similarity is None:
+        enough = F.lit(True)
+    else:  # overlap >= similarity / (1 + similarity) of both sizes together
+        enough = F.col("f") * (1 + similarity) >= similarity * (F.col("n") + F.col("shortest")) - 1e-9
     outside = (F.col("label") != F.col("most.label")).alias("outside")
-    found = save(told.join(several, ["band", "key"]).select(*members.columns, "label", outside), "buckets")
+    found = save(told.join(several, ["band", "key"]).where(enough).select(*members.columns, "label", outside), "buckets")
     return found, found.isEmpty()
 
 
