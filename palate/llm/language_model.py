@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import slices, text_bytes
+from ._arrow import give_back, slices, text_bytes
 from ._store import read_table, release, save
 from ._words import U, mix, padded, words
 
@@ -42,6 +42,7 @@ ALPHA = 0.1
 START, END = int(mix(np.array([11], U))[0]), int(mix(np.array([13], U))[0])
 BUCKETS = 24
 STEPS_PER_OCTAVE = 4
+CHUNK = 1 << 16  # tokens whose intermediate values are in memory at once
 EM_ROUNDS = 60
 _RARE_WORD, _RARE_PAIR = U(1 << 62), U(1 << 63)
 
@@ -76,6 +77,7 @@ def blocks(batches) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
         fold = batch.column(2).to_numpy(zero_copy_only=False)
         for a, b in slices(offsets, BLOCK_BYTES):
             yield (part << 24) + number, batch.slice(a, b - a), Block(data, offsets[a : b + 1], fold[a:b])
+            give_back()
             number += 1
 
 
@@ -109,17 +111,19 @@ class Table:
 
     def __init__(self, w: np.ndarray, c: np.ndarray, e: np.ndarray):
         order = np.argsort(w)
-        self.w, rank = w[order], np.argsort(np.argsort(-c[order], kind="stable"), kind="stable")
-        self.number = rank.astype(np.int64)  # by falling count: frequent words have small numbers
-        self.c, self.e = c[order], e[order]
-        self.by_number = np.argsort(rank)
+        self.w, self.c, self.e = w[order], c[order], e[order]
+        self.by_number = np.argsort(-self.c, kind="stable").astype(np.int32)
+        self.number = np.empty_like(self.by_number)  # by falling count: frequent words have small numbers
+        self.number[self.by_number] = np.arange(len(w), dtype=np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and whether the words are there."""
-        if not len(self.w):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.w, hashes), len(self.w) - 1)
-        return at, self.w[at] == hashes
+        at, there = np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        for a in range(0, len(hashes) if len(self.w) else 0, CHUNK):
+            z = slice(a, a + CHUNK)
+            at[z] = np.minimum(np.searchsorted(self.w, hashes[z]), len(self.w) - 1)
+            there[z] = self.w[at[z]] == hashes[z]
+        return at, there
 
 
 def frequent(counts: DataFrame, most: int) -> Table:
@@ -143,10 +147,15 @@ def pair_keys(table: Table, block: Block) -> tuple[np.ndarray, ...]:
     at_h[1:], has_h[1:] = at_w[:-1], has_w[:-1]
     start, known = table.find(np.array([START], U))
     at_h[block.first], has_h[block.first] = start[0], known[0]
-    near = has_w & has_h
-    keys = (table.number[at_h].astype(U) << U(20) | table.number[at_w].astype(U)) if len(table.w) else np.zeros(len(at_w), U)
-    rare = mix(block.before * U(0x9E3779B97F4A7C15) + block.hashes) >> U(2) | _RARE_PAIR
-    return np.where(near, keys, rare), at_h, has_h, at_w, has_w
+    keys = np.empty(len(at_w), U)
+    for a in range(0, len(keys), CHUNK):
+        z = slice(a, a + CHUNK)
+        keys[z] = mix(block.before[z] * U(0x9E3779B97F4A7C15) + block.hashes[z]) >> U(2) | _RARE_PAIR
+        near = np.flatnonzero(has_w[z] & has_h[z])
+        if len(near):
+            h, w = table.number[at_h[z][near]].astype(U), table.number[at_w[z][near]].astype(U)
+            keys[z][near] = h << U(20) | w
+    return keys, at_h, has_h, at_w, has_w
 
 
 def questions(docs: DataFrame, table: Table) -> DataFrame:
@@ -159,22 +168,32 @@ def questions(docs: DataFrame, table: Table) -> DataFrame:
             rare = np.flatnonzero(~has_w)
             k1, c1, e1, at1 = totals(block.hashes[rare] >> U(2) | _RARE_WORD, block.train[rare], block.em[rare])
             named = ~(has_h & has_w)[at]
-            hide = np.concatenate([~named, np.ones(len(k1), bool)])
-            n = len(k) + len(k1)
-            for a in range(0, n, 1 << 18):
-                z = slice(a, a + (1 << 18))
-                cut = lambda x, y: np.concatenate([x, y])[z]  # noqa: B023, E731
+            columns = [
+                np.concatenate(x)
+                for x in (
+                    (k.view(np.int64), k1.view(np.int64)),
+                    (c.astype(np.int32), c1.astype(np.int32)),
+                    (e.astype(np.int32), e1.astype(np.int32)),
+                    (block.before[at].view(np.int64), k1.view(np.int64)),
+                    (block.hashes[at].view(np.int64), k1.view(np.int64)),
+                    (~named, np.ones(len(k1), bool)),
+                )
+            ]
+            del block, keys, has_h, has_w, k, c, e, at, k1, c1, e1, at1, rare, named
+            for a in range(0, len(columns[0]), CHUNK):
+                key, c, e, h, w, hide = (x[a : a + CHUNK] for x in columns)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cut(k, k1).view(np.int64)),
-                        pa.array(np.full(len(cut(k, k1)), p, np.int64)),
-                        pa.array(cut(c, c1).astype(np.int32)),
-                        pa.array(cut(e, e1).astype(np.int32)),
-                        pa.array(cut(block.before[at], k1).view(np.int64), mask=hide[z]),
-                        pa.array(cut(block.hashes[at], k1).view(np.int64), mask=hide[z]),
+                        pa.array(key),
+                        pa.array(np.full(len(key), p, np.int64)),
+                        pa.array(c),
+                        pa.array(e),
+                        pa.array(h, mask=hide),
+                        pa.array(w, mask=hide),
                     ],
                     names=["k", "p", "c", "e", "h", "w"],
                 )
+            del columns
 
     return folded(docs).mapInArrow(run, "k long, p long, c int, e int, h long, w long")
 
@@ -270,20 +289,26 @@ class Model:
     def rows(self, block: Block, k: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score, score of a block's rows, given its answers (ascending keys)."""
         table = self.table
-        keys, at_h, has_h, at_w, has_w = pair_keys(table, block)
+        keys, _, _, at_w, has_w = pair_keys(table, block)
         word = np.zeros(len(keys), np.int64)
         word[has_w] = table.c[at_w[has_w]]
         rare = np.flatnonzero(~has_w)
         word[rare] = _look_up(block.hashes[rare] >> U(2) | _RARE_WORD, block.train[rare], k, total)
+        del at_w, has_w, rare
         context = np.empty_like(word)
         context[1:] = word[:-1]
         start, known = table.find(np.array([START], U))
         context[block.first] = table.c[start[0]] if known[0] else self._ends(block, k, total)
         pair = _look_up(keys, block.train, k, total)
-        p2, p1, p0 = estimates(pair, context, word, self.n, self.v)
-        mixed = (self.weights[bucket(context)] * np.stack([p2, p1, p0], 1)).sum(1)
+        del keys
+        base, mixed = np.empty(len(word)), np.empty(len(word))
+        for a in range(0, len(word), CHUNK):
+            z = slice(a, a + CHUNK)
+            p = estimates(pair[z], context[z], word[z], self.n, self.v)
+            base[z] = np.log10(p[2])
+            mixed[z] = np.log10((self.weights[bucket(context[z])] * np.stack(p, 1)).sum(1))
         add = lambda x: np.add.reduceat(x, block.first)
-        return block.counts, add((word > 0).astype(np.int64)), add(np.log10(p0)), add(np.log10(mixed))
+        return block.counts, add((word > 0).astype(np.int64)), add(base), add(mixed)
 
     @staticmethod
     def _ends(block: Block, k: np.ndarray, total: np.ndarray) -> int:
@@ -296,6 +321,7 @@ class Model:
 def _look_up(keys: np.ndarray, train: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The corpus's counts of ``keys``: as answered, or else this block's own."""
     distinct, index = np.unique(keys, return_inverse=True)
+    index = index.astype(np.int32)
     count = np.bincount(index[train], minlength=len(distinct))
     if len(k):
         at = np.minimum(np.searchsorted(k, distinct), len(k) - 1)
@@ -340,6 +366,8 @@ def scored(docs: DataFrame) -> tuple[DataFrame, Model]:
         total = right.column("total").to_numpy()
         order = np.argsort(k)
         found = model.rows(block, k[order], total[order])
+        del block, k, total, order
+        give_back()
         return pa.table([left.column("doc_id"), left.column("fold"), *(pa.array(x) for x in found)], schema=_SCORES_ARROW)
 
     rows = folded(docs).mapInArrow(numbered, "p long, doc_id long, text string, fold int")
