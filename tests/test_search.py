@@ -64,6 +64,27 @@ def test_search_frame(spark):
     assert [r.item_id for r in got] == ["cozy inn", "blue anvil"]
 
 
+def test_related_attributes_start_anywhere(spark):
+    related = [("film noir", "dark", 0.5), ("éclair", "sweet", 0.6), ("cosy", "warm", 0.7), ("zebra", "dark", 0.9), ("noir", "loud", -0.8)]
+    rows = [(v, f"{t} thing", 0.2, 1.0, None, {t: (0.6, 0.8)}) for v in ("v", "w") for t in ("dark", "sweet", "warm", "loud")]
+    df = spark.createDataFrame(rows, "viewer string, item_id string, score double, conf double, own int, tags map<string, struct<score: double, applies: double>>")
+    rel = spark.createDataFrame(related, "tag string, other string, rho double")
+    near = {}
+    for tag, other, rho in related:
+        near.setdefault(tag, []).append((other, rho))
+    for query in ("noir", "eclair", "dosy", "!noir", "@noir", "big film noir", "cosy eclair"):
+        words = X.parse_query(query)
+        want = {}
+        for v, item, score, _, own, tags in rows:
+            row = {"folded": item, "score": score, "own": own, "tags": {t: {"score": a, "applies": b} for t, (a, b) in tags.items()}}
+            if found := S.score_row(words, row, near):
+                want[v, item] = (found["strength"], found["unmatched"])
+        got = {(r.viewer, r.item_id): (r.strength, r.unmatched) for r in S.search(df, query, rel).collect()}
+        assert got == want, query
+    assert {r.item_id for r in S.search(df, "eclair", rel).collect()} == {"sweet thing"}
+    assert {r.item_id for r in S.search(df, "noir", rel).collect()} == {"dark thing"}
+
+
 def test_suggestions(spark):
     history = {"a": {"x", "y"}, "b": {"x"}, "c": {"z"}, "d": {"x", "z"}}
     assert S.suggest(history, set()) == ["x", "z", "y"]
