@@ -374,10 +374,10 @@ SQL["s21_export_rows"] = """
     SELECT user_id, CASE WHEN substr(item_id, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', item_id) ELSE item_id END AS name, tag AS attribute,
            CASE WHEN value > 0 THEN 'yes' ELSE 'no' END AS rating FROM {thumbs}"""
 
-# -- search in its closed form --------------------------------------------------------------------------------
-SQL["n08_one_word_search"] = """
+# -- how strong each said attribute is where one word spells it exactly: no search, that is n08_search_feed ------
+SQL["attribute_strength"] = """
     SELECT viewer, item_id, tag, round(sqrt((0.5D + 1.0D * (applies - 0.5D)) * ((1 + score) / 2)), 6) AS strength FROM {scores} WHERE tag <> ''"""
-SQL["o02_search_list"] = """
+SQL["attribute_strength_places"] = """
     SELECT tag, viewer, item_id, place FROM (
         SELECT tag, viewer, item_id, cast(row_number() OVER (PARTITION BY tag, viewer ORDER BY
             round(sqrt((0.5D + 1.0D * (applies - 0.5D)) * ((1 + score) / 2)), 6) DESC, conf DESC NULLS LAST, item_id) AS bigint) AS place

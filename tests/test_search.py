@@ -85,6 +85,51 @@ def test_related_attributes_start_anywhere(spark):
     assert {r.item_id for r in S.search(df, "noir", rel).collect()} == {"dark thing"}
 
 
+def test_registered_search_equals_brute_force(spark, small):
+    from palate.plans import kernels, registry
+    from palate.plans.relational import SQL
+    from palate.sources.derived import run_sql, table
+
+    assert not {"n08_one_word_search", "o02_search_list"} & set(registry.queries())
+    rows: dict = {}
+    for r in table(spark, small, "scores").collect():
+        own = rows.setdefault((r.viewer, r.item_id), {"score": None, "own": None, "tags": {}, "conf": None})
+        if r.tag == "":
+            own.update(score=r.score, conf=r.conf)
+        else:
+            own["tags"][r.tag] = {"score": r.score, "applies": r.applies, "own": None}
+    viewers = {v for v, _ in rows}
+    for r in table(spark, small, "thumbs").collect():
+        if r.user_id in viewers:
+            own = rows.setdefault((r.user_id, r.item_id), {"score": None, "own": None, "tags": {}, "conf": None})
+            if r.tag == "":
+                own["own"] = r.value
+            else:
+                own["tags"][r.tag] = {"score": own["tags"].get(r.tag, {"score": None})["score"], "applies": 1.0, "own": r.value}
+    near: dict = {}
+    for r in sorted(run_sql(spark, small, SQL["w06_related_attributes"]).collect(), key=lambda r: (r.tag, -abs(r.rho), r.other)):
+        near.setdefault(r.tag, []).append((r.other, r.rho))
+    want = {}
+    for query in kernels.ASKED:
+        words, lists = X.parse_query(query), {}
+        for (viewer, item), row in rows.items():
+            if found := S.score_row(words, row | {"folded": X.fold_query(item)}, near):
+                lists.setdefault(viewer, []).append((-found["strength"], row["conf"] is None, -(row["conf"] or 0), item, found))
+        for viewer, found in lists.items():
+            for place, (low, _, _, item, f) in enumerate(sorted(found, key=lambda x: x[:4]), 1):
+                want[query, viewer, item] = (-low, f["named"], f["unmatched"], place)
+    got = registry.queries()["n08_search_feed"](spark, small).collect()
+    assert {(r.query, r.viewer, r.item_id): (r.strength, r.named, r.unmatched, r.place) for r in got} == want and len(got) == len(want)
+    assert {q for q, *_ in want} == set(kernels.ASKED)
+
+
+def test_own_thumbs_count():
+    tags = {"cozy": {"score": None, "applies": 1.0, "own": -1}}
+    assert S.score_row(X.parse_query("cozy"), ROW | {"tags": tags}, {})["strength"] < 1e-150
+    tags["cozy"]["own"] = 1
+    assert S.score_row(X.parse_query("cozy"), ROW | {"tags": tags}, {})["strength"] == pytest.approx(1.0)
+
+
 def test_suggestions(spark):
     history = {"a": {"x", "y"}, "b": {"x"}, "c": {"z"}, "d": {"x", "z"}}
     assert S.suggest(history, set()) == ["x", "z", "y"]
