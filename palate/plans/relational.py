@@ -84,10 +84,6 @@ SQL["p07_without_removed_names"] = """
       AND NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.tag)"""
 SQL["p08_refused_writes"] = """
     SELECT t.item_id, count(*) AS refused FROM {thumbs} t JOIN {removed} r ON t.item_id = r.id GROUP BY t.item_id"""
-SQL["p09_link_patterns"] = """
-    SELECT p.page_id, s.source, regexp_extract(p.url, '^https?://([^/]+)', 1) AS host
-    FROM {pages} p JOIN (SELECT 'secure' AS source, '^https://' AS pattern UNION ALL SELECT 'plain', '^http://') s
-    ON regexp_like(p.url, s.pattern)"""
 SQL["p10_unlocked"] = """
     SELECT p.id, EXISTS (
         SELECT 1 FROM {follows} f JOIN {profiles} q ON f.followed_id = q.id
@@ -198,9 +194,6 @@ SQL["p13_catalog_prefix"] = """
     SELECT p.prefix, i.id FROM (SELECT DISTINCT substr(id, 1, 3) AS prefix FROM {items}) p
     JOIN (SELECT id, search_id, row_number() OVER (PARTITION BY substr(id, 1, 3) ORDER BY id) AS k FROM {items}) i
     ON (i.id LIKE concat(p.prefix, '%') OR i.search_id LIKE concat(p.prefix, '%')) AND i.k <= 20"""
-SQL["p20_matches_text"] = """
-    SELECT i.id, t.text FROM {items} i JOIN (SELECT 'be' AS text, 'b.*e' AS pattern UNION ALL SELECT 'ansl', 'a.*n.*s.*l') t
-    ON regexp_like(i.id, t.pattern)"""
 SQL["p23_account_fields"] = """
     SELECT id, length(display_name) BETWEEN 1 AND 50 AND trim(display_name) <> '' AS name_ok,
            handle IS NOT NULL AND regexp_like(handle, '^[a-z][a-z0-9]{{0,29}}$') AS handle_ok,
@@ -356,20 +349,8 @@ SQL["f18_j16_places_near"] = """
     ON a.cx = b.cx AND a.cy = b.cy AND a.vec_id <> b.vec_id
     WHERE 2 * 6371000.0D * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 200"""
 SQL["f19_round_position"] = "SELECT vec_id, floor(x * 100 + 0.5D) / 100 AS lon, floor(y * 100 + 0.5D) / 100 AS lat FROM {points}"
-SQL["f24_without_series"] = "SELECT page_id, trim(regexp_replace(concat(url, ' (Tale #3)'), ' \\\\([^()]*#[0-9]+[^()]*\\\\)$', '')) AS title FROM {pages}"
 SQL["f31_reference_urls"] = """
     SELECT id, CASE WHEN prefilled THEN concat('https://example.org/h/', handle) WHEN length(display_name) > 0 THEN concat('https://example.org/p/', id) END AS url FROM {profiles}"""
-SQL["w07_nearest_year"] = """
-    SELECT a.vec_id, b.vec_id AS nearest FROM {points} a JOIN {points} b ON a.label = b.label AND b.vec_id = a.vec_id + 1 WHERE abs(a.x - b.x) <= 1"""
-SQL["n14_the_one_or_nothing"] = """
-    SELECT tag, CASE WHEN count(DISTINCT item_id) = 1 THEN min(item_id) END AS item_id FROM {thumbs} WHERE tag <> '' GROUP BY tag, user_id HAVING count(*) = 1"""
-SQL["d05_import_thumbs"] = """
-    SELECT user_id, count(CASE WHEN fate = 'saved' THEN 1 END) AS saved, count(CASE WHEN fate = 'kept' THEN 1 END) AS kept,
-           count(CASE WHEN fate = 'over' THEN 1 END) AS over, count(CASE WHEN fate = 'refused' THEN 1 END) AS refused FROM (
-        SELECT l.user_id, CASE WHEN l.k > 40 THEN 'over' WHEN h.user_id IS NOT NULL THEN 'kept' WHEN l.item_id = 'k7' THEN 'refused' ELSE 'saved' END AS fate FROM (
-            SELECT user_id, item_id, min(event_id) AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS k
-            FROM {log} WHERE value <> 0 GROUP BY user_id, item_id) l
-        LEFT JOIN (SELECT DISTINCT user_id, item_id FROM {held} WHERE value = -1) h ON h.user_id = l.user_id AND h.item_id = l.item_id) f GROUP BY user_id"""
 SQL["s21_export_rows"] = """
     SELECT user_id, CASE WHEN substr(item_id, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', item_id) ELSE item_id END AS name, tag AS attribute,
            CASE WHEN value > 0 THEN 'yes' ELSE 'no' END AS rating FROM {thumbs}"""
