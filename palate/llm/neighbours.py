@@ -18,12 +18,15 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import read_table, save
+from ._store import part_count, read_table, save
 
 DEGREE, ROOM, BEAM, BUILD_BEAM = 24, 48, 96, 56
 ALPHA = 1.2
@@ -155,48 +158,80 @@ def nodes(vectors: DataFrame, k: int) -> DataFrame:
     return found.select(F.size("vector").alias("dim"), "vector", "ids")
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), dim)
+
+
+def _runs(batches) -> Iterator[tuple[tuple[int, int, bool], pa.RecordBatch]]:
+    """The batches cut where (shard, dim, asks) changes."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+        a = 0
+        for key, rows in groupby(keys):
+            n = len(list(rows))
+            yield key, batch.slice(a, n)
+            a += n
+
+
+def answers(batches, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) for a stream (shard, dim, asks, vec_id, vector, ids) in which a shard's nodes stand
+    before its queries: one shard's graph and at most ``QUERY_BLOCK`` queries are held at a time."""
+    at, parts, ids, graph = None, [], [], None
+    vectors = np.empty((0, 0))
+    for (shard, dim, asks), rows in _runs(batches):
+        if at != (shard, dim):
+            at, parts, ids, graph, vectors = (shard, dim), [], [], None, np.empty((0, dim))
+        if not asks:
+            parts.append(_matrix(rows.column(4), dim))
+            ids += rows.column(5).to_pylist()
+            continue
+        if graph is None and parts:
+            vectors, parts = np.concatenate(parts), []
+            graph = Graph(vectors)
+        if graph is None:
+            continue
+        for a in range(0, len(rows), QUERY_BLOCK):
+            part = rows.slice(a, QUERY_BLOCK)
+            yield _answer(graph, vectors, ids, part.column(3).to_pylist(), _matrix(part.column(4), dim), k, beam)
+
+
+def _answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asked: list[int], own: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    out = {name: [] for name in ("query_id", "vec_id", "score")}
+    found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
+    for query, vector, hits in zip(asked, own, found, strict=True):
+        hits = hits[hits >= 0]
+        exact = np.sqrt(((vectors[hits] - vector) ** 2).sum(1))
+        order, most = np.argsort(exact, kind="stable"), 0
+        pairs = []
+        for h in order.tolist():
+            if most >= k and exact[h] > pairs[k - 1][0]:
+                break
+            pairs += [(float(exact[h]), i) for i in ids[hits[h]] if i != query]
+            most = len(pairs)
+            pairs.sort()
+        for score, i in pairs[:k]:
+            out["query_id"].append(query)
+            out["vec_id"].append(i)
+            out["score"].append(score)
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (vec_id, vector) against every vector of ``table``."""
     spark = table.sparkSession
     graph_nodes = save(nodes(usable(table), k), "graph-nodes")
     shards = max(1, -(-graph_nodes.count() // shard_rows))
     dealt = graph_nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)))
-    # every query goes to every shard: a stated query set against all rows, block by block
+    # every query goes to every shard: a stated query set against all rows
     asked = queries.select("vec_id", "vector", F.size("vector").alias("dim"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("query_id", "vec_id", "score")}
-        if len(left) and len(right):
-            vectors = np.array(left.column("vector").combine_chunks().flatten().to_numpy()).reshape(len(left), -1)
-            ids = left.column("ids").to_pylist()
-            graph = Graph(vectors)
-            for a in range(0, len(right), QUERY_BLOCK):
-                part = right.slice(a, QUERY_BLOCK)
-                own = np.array(part.column("vector").combine_chunks().flatten().to_numpy()).reshape(len(part), -1)
-                found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
-                for query, vector, hits in zip(part.column("vec_id").to_pylist(), own, found, strict=True):
-                    hits = hits[hits >= 0]
-                    exact = np.sqrt(((vectors[hits] - vector) ** 2).sum(1))
-                    order, most = np.argsort(exact, kind="stable"), 0
-                    pairs = []
-                    for h in order.tolist():
-                        if most >= k and exact[h] > pairs[k - 1][0]:
-                            break
-                        pairs += [(float(exact[h]), i) for i in ids[hits[h]] if i != query]
-                        most = len(pairs)
-                        pairs.sort()
-                    for score, i in pairs[:k]:
-                        out["query_id"].append(query)
-                        out["vec_id"].append(i)
-                        out["score"].append(score)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    found = (
-        dealt.groupBy("shard", "dim")
-        .cogroup(asked.groupBy("shard", "dim"))
-        .applyInArrow(run, "query_id long, vec_id long, score double")
+    stream = dealt.select("shard", "dim", F.lit(False).alias("asks"), F.lit(None).cast("long").alias("vec_id"), "vector", "ids").unionByName(
+        asked.select("shard", "dim", F.lit(True).alias("asks"), "vec_id", "vector", F.lit(None).cast("array<long>").alias("ids"))
     )
+    # a task meets a shard's nodes first and then its queries, of which it holds one batch at a time
+    stream = stream.repartition(max(part_count(spark), shards), "shard", "dim").sortWithinPartitions("shard", "dim", "asks")
+    found = stream.mapInArrow(lambda batches: answers(batches, k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

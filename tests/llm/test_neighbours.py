@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from palate.llm import neighbours as N
@@ -53,3 +55,44 @@ def test_copies_ties_and_odd_vectors(spark):
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
     assert all(s == pytest.approx(t) for q in want for (_, s), (_, t) in zip(got[q], want[q], strict=True))
     assert N.nearest(table.limit(0), queries.limit(0)).count() == 0
+
+
+def test_queries_are_answered_batch_by_batch():
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    taken = []
+
+    def stream():
+        for shard in (0, 1):
+            for a in range(0, 300, 100):
+                yield batch(shard, False, [None] * 100, v[a : a + 100], [[shard * 1000 + i] for i in range(a, a + 100)])
+            for a in range(0, 40, 10):
+                taken.append((shard, a))
+                yield batch(shard, True, list(range(a, a + 10)), q[a : a + 10], [None] * 10)
+
+    def batch(shard, asks, ids, vectors, lists):
+        n = len(ids)
+        columns = [pa.array([shard] * n, pa.int64()), pa.array([8] * n, pa.int32()), pa.array([asks] * n), pa.array(ids, pa.int64())]
+        columns += [pa.array(vectors.tolist(), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "dim", "asks", "vec_id", "vector", "ids"])
+
+    seen = 0
+    for out in N.answers(stream(), 5, N.BEAM):
+        seen += 1
+        assert len(taken) == seen  # nothing is read ahead of what is answered
+        shard, first = taken[-1]
+        want = brute([(shard * 1000 + i, x) for i, x in enumerate(v)], [(None, q[first])], 5)[None]
+        assert [(i, s) for i, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)][:5] == [(i, pytest.approx(s)) for i, s in want]
+    assert seen == 8
+
+
+def test_recall_at_full_shard_size():
+    table = pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    v = np.unique(np.array([x for x in table["embedding"] if x is not None], np.float64), axis=0)
+    v = v[np.random.default_rng(3).permutation(len(v))[: N.SHARD_ROWS]]
+    assert len(v) == N.SHARD_ROWS
+    asked = v[:200].astype(np.float32)
+    found, _ = N.Graph(v).search(asked, N.BEAM)
+    hits = [len(set(f[:10]) & set(np.argsort(((v - x) ** 2).sum(1), kind="stable")[:10])) / 10 for f, x in zip(found, v[:200], strict=True)]
+    print("recall", np.mean(hits))
+    assert np.mean(hits) >= 0.9
