@@ -22,6 +22,8 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,10 +44,8 @@ _COUNT = np.array(COUNTS)
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 0 for 0, 31 for all that escape."""
-    out = np.zeros(len(ids), np.uint8)
-    for k in range(31):
-        out += ids >= (1 << k)
-    return out
+    _, bits = np.frexp(np.minimum(ids, 1 << 30).astype(np.float64))  # exact: below 2^53
+    return bits.astype(np.uint8)
 
 
 def _choices(ids: np.ndarray) -> np.ndarray:
@@ -169,51 +169,47 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
     return save(blocks(docs, path, end_id), "token-files")
 
 
-READ = "part int, block int, doc_id long, start_in_part long, ids binary"
+READ = "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Each document's ids from the files: (doc_id, start, ids); start counts the ids of all documents before."""
+def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Each document from the files: (doc_id, start, n_tokens, ids_crc32, ids); start counts the ids of all
+    documents before. Ids are decoded and summed up where they are read; ``with_ids`` returns them as well."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = decode(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8")).astype("<u4")
-                ends = np.cumsum(row["doc_tokens"])
-                raw, begin = memoryview(ids).cast("B"), ends - row["doc_tokens"]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["part"]] * n, pa.int32()),
-                        pa.array([row["block"]] * n, pa.int32()),
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["before"] + begin, pa.int64()),
-                        pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]),
-                    ],
-                    names=["part", "block", "doc_id", "start_in_part", "ids"],
-                )
-
-    # one row per part: the running total needs no more than that
+                sizes = np.array(row["doc_tokens"], np.int64)
+                ends = np.cumsum(sizes)
+                begin, raw = ends - sizes, memoryview(ids).cast("B")
+                found = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                columns = [
+                    pa.array([row["part"]] * len(found), pa.int32()),
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["before"] + begin),
+                    pa.array(sizes),
+                    pa.array([zlib.crc32(x) for x in found], pa.int64()),
+                ]
+                names = ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.array([bytes(x) for x in found], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    # one row per part, and the shuffle's partitions bound the parts: small enough to go to every task
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
-    columns = ["part", "block", "before", "words", "escapes", "doc_ids", "doc_tokens"]
-    return (
-        files.select(*columns)
-        .mapInArrow(run, READ)
-        .join(firsts, "part")
-        .select("doc_id", (F.col("first") + F.col("start_in_part")).alias("start"), "ids")
-    )
+    columns = ["part", "before", "words", "escapes", "doc_ids", "doc_tokens"]
+    found = files.select(*columns).mapInArrow(run, READ + (", ids binary" if with_ids else ""))
+    start = (F.col("first") + F.col("start_in_part")).alias("start")
+    kept = ["n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    return found.join(F.broadcast(firsts), "part").select("doc_id", start, *kept)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(write(read_table(spark, sf_dir, "documents")))
-    return found.select(
-        "doc_id",
-        "start",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-    )
+    return read(write(read_table(spark, sf_dir, "documents")), with_ids=False)
 
 
 QUERIES = {"op8_token_files": op8_token_files}
