@@ -13,30 +13,59 @@ from pyspark.sql import functions as F
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, through Spark's own reader."""
+    pin_splits(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Let all scans of a table cut its files alike from now on, also after executors came or went: row numbers
+    and blocks that hang on the partition and the place in it have to be the same each time."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``.
+    """The folder every executor shares: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Only where the cluster names none (tests, local mode) a local one is set.
+    Only local mode (tests) may do without: there, driver and executors are one process, and a folder of this
+    machine is set. On a cluster that names none this raises.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palate-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def saved_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/palate/{spark.sparkContext.applicationId}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palate/{name}-{uuid.uuid4().hex}"
+    pin_splits(spark)
+    path = f"{saved_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_saved(spark: SparkSession) -> None:
+    """Delete the tables that this application has saved. Results that are not yet written still read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the row numbers in ``gone`` (row); its columns may have any names."""
+    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

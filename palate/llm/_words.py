@@ -6,11 +6,12 @@ mixed; equal words hash alike in every process.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from ._arrow import SLICE_BYTES, slices
+from ._arrow import SLICE_BYTES
 
 U = np.uint64
 _FACTOR = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2^64
@@ -37,14 +38,18 @@ _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The factor's powers 0 to n - 1 and those of its inverse."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
+    """The factor's powers 0 to n - 1 and those of its inverse. What a slice needs is kept, more is not."""
+    found = _powers
+    if len(found["up"]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        found = {}
         for name, base in (("up", _FACTOR), ("down", _INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            found[name] = np.multiply.accumulate(steps)
+        if size == SLICE_BYTES + 1:
+            _powers.update(found)
+    return found["up"][:n], found["down"][:n]
 
 
 @dataclass
@@ -59,39 +64,79 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """The words of rows whose texts are ``data[offsets[i]:offsets[i + 1]]``; lower: A-Z count as a-z."""
-    d = data[offsets[0] : offsets[-1]]
-    rows = offsets - offsets[0]
+def tiles(d: np.ndarray, rows: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Cuts of the bytes ``d`` into tiles of at most ``limit`` (``SLICE_BYTES``), after white space or where a row
+    begins. A word longer than that is a tile of its own."""
+    limit = limit or SLICE_BYTES
+    x, n = 0, len(d)
+    while x < n:
+        y = min(x + limit, n)
+        if y < n:
+            edge = int(rows[np.searchsorted(rows, y, side="right") - 1])
+            white = np.flatnonzero(SPACE[d[x:y]])
+            cut = max(edge, x + int(white[-1]) + 1 if len(white) else 0)
+            while cut <= x:  # nothing but one word so far
+                edge = int(rows[np.searchsorted(rows, y, side="left")])
+                z = min(y + limit, edge)
+                white = np.flatnonzero(SPACE[d[y:z]])
+                if len(white):
+                    cut = y + int(white[0])
+                elif z == edge:
+                    cut = z
+                y = z
+            y = cut
+        yield x, y
+        x = y
+
+
+def _long_word(d: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The hash of one word longer than a tile, a tile at a time."""
+    up, _ = powers(SLICE_BYTES)
+    total, factor = 0, 1
+    for a in range(0, len(d), SLICE_BYTES):
+        part = values[d[a : a + SLICE_BYTES]]
+        total += factor * int((part * up[: len(part)]).sum())
+        factor = factor * pow(_FACTOR, SLICE_BYTES, 1 << 64) % (1 << 64)
+    return mix(np.array([(total + len(d)) % (1 << 64)], U))
+
+
+def _tile_words(d: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and following bytes of the words of ``d``, in which rows begin at ``rows``."""
     n = len(d)
-    if n > SLICE_BYTES and len(rows) > 2:  # piece by piece: the powers stay few
-        parts = [words(data, offsets[a : b + 1], lower) for a, b in slices(offsets)]
-        shift = [int(offsets[a] - offsets[0]) for a, _ in slices(offsets)]
-        before = np.cumsum([0, *(len(p.hashes) for p in parts)])
-        return Words(
-            np.concatenate([p.hashes for p in parts]),
-            np.concatenate([p.begin + s for p, s in zip(parts, shift, strict=True)]),
-            np.concatenate([p.end + s for p, s in zip(parts, shift, strict=True)]),
-            np.concatenate([*(p.bounds[:-1] + c for p, c in zip(parts, before, strict=False)), before[-1:]]),
-        )
-    if not n:
-        nothing = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U), nothing, nothing, np.zeros(len(rows), np.int64))
     solid = ~SPACE[d]
-    edge = np.zeros(n + 1, bool)  # a row begins here
+    edge = np.zeros(n + 1, bool)
     edge[rows] = True
+    edge[[0, n]] = True
     before = np.zeros(n, bool)
     before[1:] = solid[:-1]
     begin = np.flatnonzero(solid & (~before | edge[:-1]))
     after = np.zeros(n, bool)
     after[:-1] = solid[1:]
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    bounds = np.searchsorted(begin, rows)
     if not len(begin):
-        return Words(np.zeros(0, U), begin, end, bounds)
+        return np.zeros(0, U), begin, end
+    if n > SLICE_BYTES:
+        return _long_word(d, values), begin, end
     up, down = powers(n)
-    sums = np.add.reduceat((_LOWER if lower else _VALUE)[d] * up, begin)
-    return Words(mix(sums * down[begin] + (end - begin).astype(U)), begin, end, bounds)
+    sums = np.add.reduceat(values[d] * up, begin)
+    return mix(sums * down[begin] + (end - begin).astype(U)), begin, end
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """The words of rows whose texts are ``data[offsets[i]:offsets[i + 1]]``; lower: A-Z count as a-z. Beside the
+    words themselves memory holds what one tile needs, however long a text is."""
+    d = data[offsets[0] : offsets[-1]]
+    rows, values = offsets - offsets[0], _LOWER if lower else _VALUE
+    found = []
+    for x, y in tiles(d, rows):
+        inside = rows[np.searchsorted(rows, x) : np.searchsorted(rows, y)] - x
+        hashes, begin, end = _tile_words(d[x:y], inside, values)
+        found.append((hashes, begin + x, end + x))
+    if not found:
+        nothing = np.zeros(0, np.int64)
+        return Words(np.zeros(0, U), nothing, nothing, np.zeros(len(rows), np.int64))
+    hashes, begin, end = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*found, strict=True))
+    return Words(hashes, begin, end, np.searchsorted(begin, rows))
 
 
 def sequence_hash(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
