@@ -7,8 +7,8 @@ digest never merge:
 2. salted: one row per (partition, text) goes to ``salts`` sub-groups of its digest;
 3. global: at most ``salts`` rows of a digest meet, whatever number of copies there was.
 
-Members find their group again through the digest. Only digests that turn out to hold several texts are
-matched by the text as well.
+Members find their group again through the digest, those of the few hot digests dealt over salts. Only digests
+that turn out to hold several texts are matched by the text as well.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest ``doc_id`` stays
 (nulls lose against any id); of rows equal in text and ``doc_id`` exactly one stays; an empty table gives an
@@ -22,7 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import read_table, release, save, with_text
+from ._skew import hot_keys, join_back
+from ._store import pin_splits, read_table, release, save, with_text, without_rows
 
 SALTS = 8
 
@@ -58,16 +59,21 @@ def exact_duplicates(
     docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS
 ) -> DataFrame:
     """(doc_id, row, keep_id, group_size, kept) and the text's digest, for every row of ``docs``."""
+    pin_splits(docs.sparkSession)
     rows = _rows(docs, digest)
     slim = save(groups(rows, salts).select("digest", "keep", "n"), "exact-groups")
     release(docs.sparkSession)
+    slim_rows, hot = rows.select("digest", "who"), hot_keys(slim, ["digest"], "n")
     shared = slim.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if shared.isEmpty():
-        found = rows.select("digest", "who").join(slim, "digest")
+        found = join_back(slim_rows, slim, ["digest"], hot, ["who"])
     else:  # one digest stands for several texts: there the text itself is the key
+        alone = slim.join(shared, "digest", "left_anti")
+        plain = join_back(slim_rows, alone, ["digest"], hot_keys(alone, ["digest"], "n"), ["who"])
         clashing = rows.join(shared, "digest", "left_semi")
-        plain = rows.join(shared, "digest", "left_anti").select("digest", "who").join(slim, "digest")
-        found = plain.unionByName(clashing.join(groups(clashing, salts), ["digest", "text"]).drop("text"))
+        own = save(groups(clashing, salts), "clashing-groups")
+        both = join_back(clashing, own, ["digest", "text"], hot_keys(own, ["digest", "text"], "n"), ["who"])
+        found = plain.unionByName(both.drop("text"))
     return found.select(
         F.col("who.doc_id").alias("doc_id"),
         F.col("who.row").alias("row"),
@@ -79,9 +85,9 @@ def exact_duplicates(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all its columns unchanged."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    """``docs`` with one row of each group of equal texts, all its columns unchanged, whatever their names."""
+    gone = exact_duplicates(docs).where(~F.col("kept")).select("row")
+    return without_rows(docs, gone)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
