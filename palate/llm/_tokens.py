@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._arrow import slices, text_bytes
+from ._arrow import give_back, slices, text_bytes
 
 MEMO_WORDS = 400_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Words that are one piece for the tokenizer.
 LETTERS = re.compile("[a-zà-öø-ÿ]+")
@@ -157,3 +157,5 @@ def encoded_rows(path: str, texts: pa.Array, end: int | None = None) -> Iterator
         cuts = (4 * at[bounds]).tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield bytes(raw[a:b]) + tail
+        del found, index, bounds, ids, at, raw
+        give_back()

@@ -6,9 +6,9 @@ longest piece, and a subset-sum over the *multiset of remaining lengths* finds t
 to the rest of the window. The dynamic programme keeps one big integer per step whose bit s says that the sum
 s can be made; walking the steps backwards gives how many pieces of each length are taken.
 
-A unit's pieces that cannot yet fill a window wait for the next unit. At the end of a partition the remaining
-windows are filled up with a cut from another waiting piece, and the last, shorter sequence is cut into powers
-of two, which need no padding. So the only work in memory is one unit and its leftovers.
+A unit's pieces that cannot yet fill a window wait for the next unit, but never more than a unit's tokens: beyond
+that, and at the end of a partition, windows are filled up with a cut from another waiting piece. The last, shorter
+sequence is cut into powers of two, which need no padding. So at most two units are in memory.
 
 Defined results: a null or empty text is its end id alone; null ids stay null; every id of every row lies in
 exactly one piece; an empty table gives an empty result; other columns of the input are ignored.
@@ -61,17 +61,19 @@ def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return dict(taken)
 
 
-def fill_windows(waiting: dict[int, list[Piece]], window: int, last: bool) -> Iterator[list[Piece]]:
+def fill_windows(waiting: dict[int, list[Piece]], window: int, keep: int) -> Iterator[list[Piece]]:
     """Windows made from ``waiting`` (pieces by length), which keeps what isn't used.
 
-    Before the end only full windows are made; at the end every piece is placed.
+    As long as more than ``keep`` tokens wait, pieces are cut where none fits; below that only windows that whole
+    pieces fill are made. With ``keep`` 0 every piece is placed.
     """
+    held = sum(n * len(p) for n, p in waiting.items())
     while waiting:
         longest = max(waiting)
         counts = {n: len(p) - (n == longest) for n, p in waiting.items() if len(p) > (n == longest)}
         fill = closest_fill(counts, window - longest)
         total = longest + sum(n * k for n, k in fill.items())
-        if total < window and not last:
+        if total < window and held <= keep:
             return
         made = [_take(waiting, longest)]
         for n, k in fill.items():
@@ -81,6 +83,7 @@ def fill_windows(waiting: dict[int, list[Piece]], window: int, last: bool) -> It
             cut = 4 * (window - total)
             made.append((doc, start, ids[:cut], whole))
             _put(waiting, (doc, start + window - total, ids[cut:], whole))
+        held -= min(window, held)
         yield made
 
 
@@ -127,9 +130,9 @@ def pack(
             _put(waiting, (doc, a, ids[4 * a :], n))
             seen += n - a
         if seen >= unit_tokens:
-            yield from fill_windows(waiting, window, last=False)
+            yield from fill_windows(waiting, window, unit_tokens)
             seen = 0
-    for made in fill_windows(waiting, window, last=True):
+    for made in fill_windows(waiting, window, 0):
         if sum(len(p[2]) for p in made) == 4 * window:
             yield made
         else:

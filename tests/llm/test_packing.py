@@ -42,6 +42,22 @@ def test_pack_places_every_id_once(lengths):
         assert b"".join(x for _, x in sorted(found[doc])) == ids
 
 
+def test_pieces_that_fit_nowhere_do_not_pile_up():
+    drawn = 0
+
+    def docs():
+        nonlocal drawn
+        for k in range(3000):
+            drawn += 3000
+            yield k, np.zeros(3000, "<u4").tobytes()
+
+    placed = 0
+    for made in packing.pack(docs(), window=4096, unit_tokens=100_000):
+        placed += sum(len(p[2]) // 4 for p in made)
+        assert drawn - placed <= 2 * 100_000 + 3000
+    assert placed == drawn == 9_000_000
+
+
 def test_packed_covers_the_table(spark, small):
     from tokenizers import Tokenizer
 
@@ -71,4 +87,10 @@ def test_packed_covers_the_table(spark, small):
 def test_odd_rows(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
     found = packing.packed(df).collect()
-    assert sum(r.length for r in found) == sum(len((t or "").split()) + 1 for _, t, _ in rows)
+    sizes = sorted((d or 0, len((t or "").split()) + 1) for d, t, _ in rows)
+    whole = defaultdict(int)
+    for r in found:
+        whole[r.doc_id or 0] += r.length
+        assert len(r.ids) == 4 * r.length and r.start + r.length <= r.doc_tokens
+        assert (r.doc_id or 0, r.doc_tokens) in sizes
+    assert dict(whole) == {d: sum(n for k, n in sizes if k == d) for d, _ in sizes}
