@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import slices, text_bytes
+from ._arrow import SLICE_BYTES, slices, text_bytes
 from ._store import in_fold, read_table, with_text
 
 WIDTH, FILTERS, CHUNK, GRAM, LAGS = 6, 16, 256, 6, 48
@@ -74,6 +74,18 @@ def chunk_maxima(model: Model, syms: np.ndarray, first: np.ndarray, size: np.nda
     return np.maximum.reduceat(act, np.stack([starts, ends], 1).ravel(), axis=0)[::2], at
 
 
+def long_maxima(model: Model, text: np.ndarray) -> np.ndarray:
+    """The chunk maxima of one long text, a tile of whole chunks at a time with what its windows look back and
+    reach ahead for."""
+    found = []
+    for x in range(0, len(text), SLICE_BYTES):
+        y, back = min(x + SLICE_BYTES, len(text)), min(LAGS, x)
+        part = text[x - back : y + WIDTH + GRAM]
+        syms, _ = symbols(part, np.array([0]), np.array([len(part)]))
+        found.append(chunk_maxima(model, syms, np.array([back]), np.array([y - x]))[0])
+    return np.concatenate(found)
+
+
 def combine(model: Model, maxima: np.ndarray, at: np.ndarray) -> np.ndarray:
     hidden = np.maximum(maxima + model["bias"], 0)
     mean = np.add.reduceat(hidden, at[:-1], axis=0) / np.diff(at)[:, None]
@@ -88,8 +100,12 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
         return np.full(len(offsets) - 1, float(model["rest"][0]))
     out = np.zeros(len(offsets) - 1)
     for a, b in slices(offsets):
-        syms, first = symbols(data, offsets[a:b], offsets[a + 1 : b + 1])
-        maxima, at = chunk_maxima(model, syms, first, np.diff(offsets[a : b + 1]))
+        if offsets[b] - offsets[a] > SLICE_BYTES:
+            maxima = long_maxima(model, data[offsets[a] : offsets[b]])
+            at = np.array([0, len(maxima)])
+        else:
+            syms, first = symbols(data, offsets[a:b], offsets[a + 1 : b + 1])
+            maxima, at = chunk_maxima(model, syms, first, np.diff(offsets[a : b + 1]))
         out[a:b] = combine(model, maxima, at)
     return out
 
