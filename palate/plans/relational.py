@@ -6,8 +6,12 @@ One text per operator; Catalyst plans it in Spark, and the same text is the chec
 from __future__ import annotations
 
 import re
+from functools import partial
 
-from ..sources.derived import as_ctes, run_sql
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import opinions
+from ..sources.derived import as_ctes, run_sql, table
 
 SQL: dict[str, str] = {}
 
@@ -68,12 +72,12 @@ SQL["p04_visible_thumbs"] = """
         SELECT viewer, who, item_id, tag FROM {heard}
         UNION SELECT user_id, user_id, item_id, tag FROM {thumbs}) v GROUP BY viewer"""
 SQL["p05_visible_profiles"] = """
-    SELECT viewer, count(*) AS profiles FROM (
-        SELECT id AS viewer, id AS seen FROM {profiles}
-        UNION SELECT follower_id, followed_id FROM {follows}
-        UNION SELECT followed_id, follower_id FROM {follows}
-        UNION SELECT f.follower_id, p.id FROM (SELECT DISTINCT follower_id FROM {follows}) f
-              JOIN {profiles} p ON p.prefilled) v GROUP BY viewer"""
+    SELECT p.id AS viewer, (SELECT count(*) FROM {profiles} WHERE prefilled) + count(v.seen) AS profiles FROM {profiles} p LEFT JOIN (
+        SELECT e.viewer, e.seen FROM (
+            SELECT id AS viewer, id AS seen FROM {profiles}
+            UNION SELECT follower_id, followed_id FROM {follows}
+            UNION SELECT followed_id, follower_id FROM {follows}) e JOIN {profiles} q ON q.id = e.seen AND NOT q.prefilled) v
+    ON v.viewer = p.id GROUP BY p.id"""
 SQL["p06_visible_edges"] = """
     SELECT viewer, count(*) AS edges FROM (
         SELECT follower_id AS viewer, follower_id, followed_id FROM {follows}
@@ -90,7 +94,7 @@ SQL["p10_unlocked"] = """
         WHERE f.follower_id = p.id AND NOT q.prefilled) AS unlocked FROM {profiles} p"""
 SQL["j03_accounts_with_readable_thumbs"] = """
     SELECT f.follower_id, f.followed_id FROM {follows} f WHERE EXISTS (
-        SELECT 1 FROM {thumbs} t WHERE t.user_id = f.followed_id AND t.item_id NOT IN (SELECT id FROM {removed}))"""
+        SELECT 1 FROM {thumbs} t WHERE t.user_id = f.followed_id AND NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.item_id))"""
 SQL["j04_new_names"] = """
     SELECT DISTINCT t.tag AS name FROM {thumbs} t WHERE t.tag <> '' AND NOT EXISTS (SELECT 1 FROM {items} i WHERE i.id = t.tag)"""
 SQL["j08_one_row_modes"] = """
@@ -135,10 +139,12 @@ SQL["o05_plot_trim"] = """
     WHERE place <= 600"""
 SQL["o06_map_choice"] = """
     SELECT vec_id, own FROM (
-        SELECT vec_id, own, row_number() OVER (ORDER BY own DESC, len DESC, vec_id) AS k,
-               row_number() OVER (PARTITION BY own ORDER BY len DESC, vec_id) AS within FROM (
-            SELECT vec_id, label < 5 AS own, round(sqrt(x * x + y * y + z * z), 9) AS len FROM {points}) p) r
-    WHERE k <= 600 AND (within <= 600)"""
+        SELECT vec_id, own, row_number() OVER (ORDER BY own DESC, len DESC, vec_id) AS k FROM (
+            SELECT * FROM (SELECT vec_id, true AS own, round(sqrt(x * x + y * y + z * z), 9) AS len FROM {points} WHERE label < 5
+                           ORDER BY len DESC, vec_id LIMIT 600) a
+            UNION ALL SELECT * FROM (SELECT vec_id, false AS own, round(sqrt(x * x + y * y + z * z), 9) AS len FROM {points} WHERE label >= 5
+                           ORDER BY len DESC, vec_id LIMIT 600) b) p) r
+    WHERE k <= 600"""
 SQL["o07_accounts_by_name"] = """
     SELECT id, display_name, cast(row_number() OVER (PARTITION BY nation ORDER BY display_name, id) AS bigint) AS place FROM {profiles}"""
 SQL["o11_prefilled_by_handle"] = """
@@ -167,7 +173,8 @@ SQL["u02_attributes"] = """
         SELECT viewer, item_id, tag FROM {said} WHERE tag <> ''
         UNION SELECT user_id, item_id, tag FROM {thumbs} WHERE tag <> '') a GROUP BY viewer"""
 SQL["u04_no_longer_followed"] = """
-    SELECT DISTINCT user_id FROM {thumbs} WHERE user_id NOT IN (SELECT followed_id FROM {follows})"""
+    SELECT f.follower_id AS viewer, f.followed_id AS account FROM {follows} f WHERE NOT EXISTS (
+        SELECT 1 FROM {still} k WHERE k.follower_id = f.follower_id AND k.followed_id = f.followed_id)"""
 SQL["j11_candidate_rows"] = """
     SELECT coalesce(s.viewer, t.user_id) AS viewer, coalesce(s.item_id, t.item_id) AS item_id,
            round(s.score, 9) AS score, t.value AS own, i.id IS NOT NULL AS in_catalog
@@ -191,16 +198,20 @@ SQL["f14_discount"] = "SELECT item_id, tag, round(0.5D + 0.75D * ((1 + m) / 2 -
 SQL["f11_typo_budget"] = """
     SELECT id, cast(CASE WHEN length(split_part(id, ' ', 1)) <= 3 THEN 0 WHEN length(split_part(id, ' ', 1)) <= 6 THEN 1 ELSE 2 END AS int) AS budget FROM {items}"""
 SQL["p13_catalog_prefix"] = """
-    SELECT p.prefix, i.id FROM (SELECT DISTINCT substr(id, 1, 3) AS prefix FROM {items}) p
-    JOIN (SELECT id, search_id, row_number() OVER (PARTITION BY substr(id, 1, 3) ORDER BY id) AS k FROM {items}) i
-    ON (i.id LIKE concat(p.prefix, '%') OR i.search_id LIKE concat(p.prefix, '%')) AND i.k <= 20"""
+    SELECT DISTINCT p.prefix, i.id FROM (SELECT DISTINCT substr(id, 1, 3) AS prefix FROM {items}) p
+    JOIN (SELECT id, substr(id, 1, 3) AS start, k FROM (
+              SELECT id, row_number() OVER (PARTITION BY substr(id, 1, 3) ORDER BY id) AS k FROM {items}) a
+          UNION ALL SELECT id, substr(search_id, 1, 3), k FROM (
+              SELECT id, search_id, row_number() OVER (PARTITION BY substr(search_id, 1, 3) ORDER BY id) AS k FROM {items}) b) i
+    ON i.start = p.prefix WHERE i.k <= 20"""
 SQL["p23_account_fields"] = """
     SELECT id, length(display_name) BETWEEN 1 AND 50 AND trim(display_name) <> '' AS name_ok,
            handle IS NOT NULL AND regexp_like(handle, '^[a-z][a-z0-9]{{0,29}}$') AS handle_ok,
            (handle IS NOT NULL) = prefilled AS handle_iff_prefilled FROM {profiles}"""
 SQL["n11_account_search"] = """
-    SELECT q.word, p.id FROM (SELECT DISTINCT lower(substr(display_name, 1, 8)) AS word FROM {profiles} UNION SELECT 'h1') q
-    JOIN {profiles} p ON lower(p.display_name) LIKE concat(q.word, '%') OR p.handle LIKE concat(q.word, '%')"""
+    SELECT DISTINCT q.word, p.id FROM (SELECT DISTINCT lower(substr(display_name, 1, 8)) AS word FROM {profiles} UNION SELECT 'h1') q
+    JOIN (SELECT id, substr(lower(display_name), 1, step) AS start FROM {profiles} JOIN {steps} ON step <= length(display_name)
+          UNION SELECT id, substr(handle, 1, step) FROM {profiles} JOIN {steps} ON step <= length(handle)) p ON p.start = q.word"""
 SQL["p02_structural_names"] = """
     SELECT user_id, count(*) AS kept FROM {thumbs} WHERE length(item_id) BETWEEN 1 AND 128 AND length(tag) <= 128
       AND NOT regexp_like(item_id, '[\x01-\x1f]') AND value IN (1, -1) GROUP BY user_id"""
@@ -212,11 +223,11 @@ SQL["a05_nested_thumbs"] = """
 SQL["a07_prefilled_tags"] = """
     SELECT handle, tag, uses, cast(row_number() OVER (PARTITION BY handle ORDER BY uses DESC, tag) AS bigint) AS place FROM (
         SELECT p.handle, t.tag, count(*) AS uses FROM {thumbs} t JOIN {profiles} p ON p.id = t.user_id AND p.prefilled
-        WHERE t.tag <> '' AND t.tag NOT IN (SELECT id FROM {removed}) AND t.item_id NOT IN (SELECT id FROM {removed})
+        WHERE t.tag <> '' AND NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.tag)
+          AND NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.item_id)
         GROUP BY p.handle, t.tag) c"""
 SQL["a08_reported_names"] = """
-    SELECT item_id, count(*) AS reports, max(ts) AS latest, cast(rank() OVER (ORDER BY count(*) DESC, max(ts) DESC, item_id) AS bigint) AS place
-    FROM {log} WHERE value = -1 AND tag = '' GROUP BY item_id"""
+    SELECT item_id, count(*) AS reports, max(ts) AS latest FROM {log} WHERE value = -1 AND tag = '' GROUP BY item_id"""
 SQL["a09_duplicates"] = """
     SELECT l_orderkey, l_linenumber, count(*) AS copies FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
 SQL["a10_latest_revision"] = """
@@ -268,9 +279,12 @@ SQL["t02_changes_since"] = """
         WHERE r.changed = 1) d WHERE back = 1 AND revision > since"""
 SQL["t03_full_reads"] = """
     SELECT user_id, asked IS NULL OR asked <= 0 OR asked > latest OR asked < floor AS full_read FROM (
-        SELECT l.user_id, l.latest, coalesce(f.floor, 0) AS floor, CASE WHEN l.latest % 4 = 0 THEN NULL ELSE l.latest - 2 END AS asked
+        SELECT l.user_id, l.latest, coalesce(f.floor, 0) AS floor, o.asked
         FROM (SELECT user_id, max(revision) AS latest FROM {revisions} GROUP BY user_id) l
-        LEFT JOIN (SELECT user_id, max(revision) AS floor FROM {revisions} WHERE changed = 1 AND value = 0 GROUP BY user_id) f
+        LEFT JOIN (SELECT user_id, max(revision) AS asked FROM {revisions}
+                   WHERE ts < (SELECT max(ts) FROM {events}) - INTERVAL 480 HOUR GROUP BY user_id) o ON o.user_id = l.user_id
+        LEFT JOIN (SELECT user_id, max(revision) AS floor FROM {revisions}
+                   WHERE changed = 1 AND value = 0 AND ts < (SELECT max(ts) FROM {events}) - INTERVAL 240 HOUR GROUP BY user_id) f
         ON l.user_id = f.user_id) s"""
 SQL["t04_apply_changes"] = """
     SELECT user_id, item_id, tag, value FROM (
@@ -278,12 +292,15 @@ SQL["t04_apply_changes"] = """
         FROM {revisions} WHERE changed = 1) r WHERE back = 1 AND value <> 0"""
 SQL["t05_followed_stamps"] = """
     SELECT f.follower_id AS viewer, f.followed_id AS account,
-           md5(concat('salt:', cast(count(*) AS {str}), ':', cast(sum(t.value) AS {str}))) AS stamp
-    FROM {follows} f JOIN {thumbs} t ON f.followed_id = t.user_id WHERE t.item_id NOT IN (SELECT id FROM {removed})
-    GROUP BY f.follower_id, f.followed_id"""
+           md5(concat(f.follower_id, ':', cast(l.revision AS {str}), ':', cast(coalesce(g.removals, 0) AS {str}))) AS stamp
+    FROM {follows} f JOIN (SELECT user_id, max(revision) AS revision FROM {revisions} GROUP BY user_id) l
+    ON l.user_id = concat('u', substr(f.followed_id, 2))
+    LEFT JOIN (SELECT t.user_id, count(*) AS removals FROM {thumbs} t JOIN {removed} r ON r.id = t.item_id GROUP BY t.user_id) g
+    ON g.user_id = f.followed_id"""
 SQL["p21_stale_accounts"] = """
     SELECT n.user_id FROM (SELECT user_id, max(revision) AS stamp FROM {revisions} GROUP BY user_id) n
-    LEFT JOIN (SELECT user_id, max(revision) AS stamp FROM {revisions} WHERE event_id % 2 = 0 GROUP BY user_id) o
+    LEFT JOIN (SELECT user_id, max(revision) AS stamp FROM {revisions}
+               WHERE ts < (SELECT max(ts) FROM {events}) - INTERVAL 120 HOUR GROUP BY user_id) o
     ON n.user_id = o.user_id WHERE o.stamp IS NULL OR o.stamp <> n.stamp"""
 SQL["t06_affected_viewers"] = """
     SELECT DISTINCT f.follower_id AS viewer FROM {follows} f JOIN {profiles} p ON f.followed_id = p.id AND p.prefilled
@@ -293,8 +310,10 @@ SQL["t07_tombstones"] = """
         SELECT user_id, item_id, tag, value, event_id, changed, row_number() OVER (PARTITION BY user_id, item_id, tag ORDER BY event_id DESC) AS back
         FROM {revisions} WHERE changed = 1) r WHERE back = 1 AND value = 0"""
 SQL["t08_expired_tombstones"] = """
-    SELECT user_id, count(*) AS expired, max(revision) AS floor FROM {revisions}
-    WHERE changed = 1 AND value = 0 AND ts < (SELECT max(ts) FROM {events}) - INTERVAL 240 HOUR GROUP BY user_id"""
+    SELECT user_id, count(*) AS expired, max(revision) AS floor FROM (
+        SELECT user_id, value, revision, ts, row_number() OVER (PARTITION BY user_id, item_id, tag ORDER BY event_id DESC) AS back
+        FROM {revisions} WHERE changed = 1) r
+    WHERE back = 1 AND value = 0 AND ts < (SELECT max(ts) FROM {events}) - INTERVAL 240 HOUR GROUP BY user_id"""
 SQL["d01_set_thumbs"] = """
     SELECT coalesce(h.user_id, n.user_id) AS user_id, coalesce(h.item_id, n.item_id) AS item_id, coalesce(h.tag, n.tag) AS tag,
            coalesce(n.value, h.value) AS value, CASE WHEN h.user_id IS NULL THEN 'insert' WHEN n.user_id IS NULL THEN 'keep'
@@ -309,9 +328,10 @@ SQL["d06_load_prefilled"] = """
            CASE WHEN o.user_id IS NULL THEN 'insert' WHEN n.user_id IS NULL THEN 'delete' WHEN o.value <> n.value THEN 'update' ELSE 'keep' END AS action
     FROM (SELECT t.* FROM {thumbs} t JOIN {profiles} p ON p.id = t.user_id AND p.prefilled WHERE t.tag = '') o
     FULL OUTER JOIN (SELECT t.user_id, t.item_id, max(t.value) AS value FROM {thumbs} t JOIN {profiles} p ON p.id = t.user_id AND p.prefilled
-        WHERE t.tag <> '' AND t.item_id NOT IN (SELECT id FROM {removed}) GROUP BY t.user_id, t.item_id) n
+        WHERE t.tag <> '' AND NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.item_id) GROUP BY t.user_id, t.item_id) n
     ON o.user_id = n.user_id AND o.item_id = n.item_id"""
-SQL["d07_remove_name"] = "SELECT i.id FROM {items} i WHERE i.id NOT IN (SELECT id FROM {removed})"
+SQL["d07_remove_name"] = """
+    SELECT i.id FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {removed} r WHERE r.id = i.id)"""
 SQL["d08_purge"] = """
     SELECT t.user_id, count(*) AS purged FROM {thumbs} t WHERE EXISTS (SELECT 1 FROM {removed} r WHERE r.id = t.item_id OR r.id = t.tag) GROUP BY t.user_id"""
 SQL["d10_write_budget"] = """
@@ -328,7 +348,7 @@ SQL["d15_import_standing"] = """
     FROM {log} GROUP BY user_id"""
 SQL["d16_revoked_links"] = """
     SELECT p.id FROM {profiles} p WHERE NOT p.prefilled AND NOT EXISTS (
-        SELECT 1 FROM {follows} f JOIN {profiles} q ON q.id = f.followed_id WHERE f.follower_id = p.id AND NOT q.prefilled)"""
+        SELECT 1 FROM {still} f JOIN {profiles} q ON q.id = f.followed_id WHERE f.follower_id = p.id AND NOT q.prefilled)"""
 SQL["t10_follow_events"] = "SELECT followed_id AS subscriber, count(*) AS events FROM {follows} GROUP BY followed_id"
 
 # -- imports ------------------------------------------------------------------------------------------------
@@ -365,15 +385,27 @@ SQL["attribute_strength_places"] = """
         FROM {scores} WHERE tag <> '') r"""
 
 
+#: Spark's own way to some of the results; their SQL is the check alone.
+BUILT = {
+    "a02_squared_size": lambda t: opinions.squared_size(t("thumbs"), t("follows"), t("said")),
+}
+
+
+def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    if name in BUILT:
+        return BUILT[name](lambda n: table(spark, sf_dir, n))
+    return run_sql(spark, sf_dir, SQL[name])
+
+
 def queries():
-    return {name: (lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text)) for name, text in SQL.items()}
+    return {name: partial(_run, name) for name in SQL}
 
 
-def _ansi(text: str) -> str:
+def ansi(text: str) -> str:
     """Spark's spellings as the other engine spells them."""
     out = as_ctes(text).replace("regexp_like(", "regexp_matches(").replace("{{", "{").replace("}}", "}").replace("\\\\", "\\")
     return re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"cast(\1 AS double)", out)
 
 
 def oracle_sql():
-    return {name: _ansi(text) for name, text in SQL.items()}
+    return {name: ansi(text) for name, text in SQL.items()}
