@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import kernels, relational
+from . import imports, kernels, relational
 
-_MODULES = (relational, kernels)
+_MODULES = (relational, imports, kernels)
 
 
 def queries():
