@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
 from palate.functions import text as X
@@ -138,3 +139,29 @@ def test_suggestions(spark):
     thumbs = [("u", i, t, 1) for i, tags in history.items() for t in ("", *tags)]
     got = S.suggestions(spark.createDataFrame(thumbs, "user_id string, item_id string, tag string, value int")).collect()
     assert {(r.item_id, r.tag) for r in got if r.place == 1} >= {("c", "x")}
+
+
+def test_all_suggestions_equal_single_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        carried = rng.random((rng.integers(0, 9), rng.integers(0, 7))) < rng.random()
+        names = [f"t{k}" for k in range(carried.shape[1])]
+        history = {f"i{i}": {n for n, c in zip(names, row, strict=True) if c} for i, row in enumerate(carried)}
+        want = [S.suggest({j: h for j, h in history.items() if j != i}, mine) for i, mine in history.items()]
+        assert [[names[k] for k in x] for x in S.suggest_all(carried, at_once=4)] == want
+
+
+def test_registered_suggestions_equal_brute_force(spark, small):
+    from palate.plans import registry
+    from palate.sources.derived import table
+
+    every: dict = {}
+    for r in table(spark, small, "thumbs").collect():
+        every.setdefault(r.user_id, {}).setdefault(r.item_id, set()).update({r.tag} - {""})
+    want = set()
+    for user, history in every.items():
+        for item, mine in history.items():
+            offered = S.suggest({j: h for j, h in history.items() if j != item}, mine)
+            want |= {(user, item, k, t) for k, t in enumerate(offered, 1)}
+    got = [tuple(r) for r in registry.queries()["n09_suggestions"](spark, small).collect()]
+    assert set(got) == want and len(got) == len(want)
