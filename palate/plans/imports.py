@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import exports as X
-from ..sources.derived import as_ctes, run_sql, table
+from ..sources.derived import run_sql, table
 
 BASE = """
     SELECT concat('c', cast(o.o_custkey AS {str})) AS export, o.o_custkey AS cust, l.l_orderkey AS k, l.l_linenumber AS n,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import imports, kernels, relational
+from . import imports, kernels, matches, relational
 
-_MODULES = (relational, imports, kernels)
+_MODULES = (relational, imports, matches, kernels)
 
 
 def queries():

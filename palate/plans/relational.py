@@ -9,6 +9,7 @@ import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import opinions
 from ..sources.derived import as_ctes, run_sql, table
@@ -369,12 +370,65 @@ SQL["f18_j16_places_near"] = """
     ON a.cx = b.cx AND a.cy = b.cy AND a.vec_id <> b.vec_id
     WHERE 2 * 6371000.0D * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 200"""
 SQL["f19_round_position"] = "SELECT vec_id, floor(x * 100 + 0.5D) / 100 AS lon, floor(y * 100 + 0.5D) / 100 AS lat FROM {points}"
-SQL["f31_reference_urls"] = """
-    SELECT id, CASE WHEN prefilled THEN concat('https://example.org/h/', handle) WHEN length(display_name) > 0 THEN concat('https://example.org/p/', id) END AS url FROM {profiles}"""
+LINKS = """
+    SELECT p_partkey AS part, concat(p_name, ' ', lower(p_type)) AS item_id,
+           CASE p_partkey % 3 WHEN 0 THEN 'imdb' WHEN 1 THEN 'wikidata' ELSE 'osm' END AS source,
+           CASE p_partkey % 7 WHEN 0 THEN concat('x', cast(p_partkey AS {str})) ELSE concat(
+               CASE p_partkey % 3 WHEN 0 THEN 'tt' WHEN 1 THEN 'Q' ELSE 'N' END, cast(p_partkey AS {str})) END AS ref FROM {part}"""
+PATTERNS = """
+    SELECT * FROM (VALUES ('imdb', '^tt[0-9]+$', 'https://www.imdb.com/title/'), ('wikidata', '^Q[1-9][0-9]*$', 'https://www.wikidata.org/wiki/'),
+        ('osm', '^[NWR][0-9]+$', 'https://www.openstreetmap.org/')) AS t(source, pattern, base)"""
+SQL["p09_j06_link_patterns"] = f"""
+    SELECT l.part, l.item_id, l.source, l.ref FROM ({LINKS}) l JOIN ({PATTERNS}) p ON l.source = p.source AND regexp_like(l.ref, p.pattern)"""
+SQL["f31_reference_urls"] = f"""
+    SELECT l.part, l.ref, CASE WHEN p.base IS NULL THEN NULL WHEN l.source = 'osm' THEN concat(p.base, CASE substr(l.ref, 1, 1) WHEN 'N' THEN 'node/' WHEN 'W' THEN 'way/' ELSE 'relation/' END, substr(l.ref, 2))
+           ELSE concat(p.base, l.ref) END AS url
+    FROM ({LINKS}) l LEFT JOIN ({PATTERNS}) p ON l.source = p.source AND regexp_like(l.ref, p.pattern)"""
 SQL["s21_export_rows"] = """
     SELECT user_id, CASE WHEN substr(item_id, 1, 1) IN ('=', '+', '-', '@') THEN concat('''', item_id) ELSE item_id END AS name, tag AS attribute,
            CASE WHEN value > 0 THEN 'yes' ELSE 'no' END AS rating FROM {thumbs}"""
 
+# -- candidates ---------------------------------------------------------------------------------------------
+CLAIMS = """
+    SELECT p_partkey AS ref, CASE p_partkey % 2 WHEN 0 THEN 'instance' ELSE 'class' END AS prop, p_size % 6 AS kind,
+           CASE p_partkey % 5 WHEN 0 THEN 'deprecated' ELSE 'normal' END AS rank FROM {part}
+    UNION ALL SELECT p_partkey, 'occupation', p_size % 9, 'normal' FROM {part} WHERE p_partkey % 3 = 0"""
+SQL["p14_p15_rateable_kinds"] = f"""
+    SELECT DISTINCT c.ref FROM ({CLAIMS}) c JOIN (
+        SELECT * FROM (VALUES ('instance', 1), ('instance', 4), ('class', 2), ('occupation', 7)) AS t(prop, kind)) k
+    ON c.prop = k.prop AND c.kind = k.kind WHERE c.rank <> 'deprecated'"""
+SQL["p16_rateable_places"] = """
+    SELECT vec_id, key, value FROM (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'amenity' WHEN 1 THEN 'shop' WHEN 2 THEN 'highway' ELSE 'tourism' END AS key,
+           CASE label WHEN 1 THEN 'bar' WHEN 2 THEN 'bench' WHEN 3 THEN 'museum' ELSE 'other' END AS value FROM {points}) p
+    WHERE EXISTS (SELECT 1 FROM (VALUES ('amenity', 'bar'), ('shop', '*'), ('tourism', 'museum')) AS t(k, v) WHERE t.k = p.key AND (t.v = '*' OR t.v = p.value))"""
+SQL["p17_good_matches"] = """
+    SELECT q.word, i.id FROM (SELECT DISTINCT split_part(id, ' ', 1) AS word, split_part(id, ' ', 2) AS other FROM {items}) q
+    JOIN (SELECT id, split_part(id, ' ', n.k) AS part FROM {items} JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS t(k)) n ON true) i
+    ON i.part = q.word WHERE q.other <> '' AND concat(' ', i.id, ' ') LIKE concat('% ', q.other, ' %') GROUP BY q.word, i.id"""
+SQL["p19_all_finite"] = """
+    SELECT label, count(CASE WHEN x = x AND abs(x) < 1e300 AND y = y AND abs(y) < 1e300 AND z = z AND abs(z) < 1e300 THEN NULL ELSE 1 END) = 0 AS finite
+    FROM {points} GROUP BY label"""
+SQL["p20_letters_in_order"] = """
+    SELECT q.word, i.id FROM (VALUES ('wdgt', '%w%d%g%t%'), ('cdan', '%c%d%a%n%'), ('zzzz', '%z%z%z%z%')) AS q(word, pattern) JOIN {items} i ON lower(i.id) LIKE q.pattern"""
+SQL["o08_account_chips"] = """
+    SELECT viewer, account, k FROM (
+        SELECT f.follower_id AS viewer, f.followed_id AS account, cast(row_number() OVER (PARTITION BY f.follower_id ORDER BY
+               CASE WHEN p.display_name LIKE '%7%' THEN 0 ELSE 1 END, p.display_name, p.id) AS bigint) AS k,
+               count(CASE WHEN p.display_name LIKE '%7%' THEN 1 END) OVER (PARTITION BY f.follower_id) AS matched
+        FROM {follows} f JOIN {profiles} p ON p.id = f.followed_id) c WHERE k <= greatest(3, matched)"""
+SQL["o09_shown_candidates"] = """
+    SELECT search, source, ref, place FROM (
+        SELECT search, source, ref, cast(row_number() OVER (PARTITION BY search ORDER BY CASE WHEN k > share THEN 1 ELSE 0 END, source DESC, k) AS bigint) AS place FROM (
+            SELECT p_size AS search, CASE WHEN p_partkey % 3 = 0 THEN 'places' ELSE 'wiki' END AS source, p_partkey AS ref,
+                   CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 3 END AS share,
+                   row_number() OVER (PARTITION BY p_size, p_partkey % 3 = 0 ORDER BY p_partkey) AS k FROM {part}) r) s WHERE place <= 5"""
+SQL["f34_nearest_rank"] = """
+    SELECT vec_id, cast(CASE WHEN x <> x THEN 3 ELSE greatest(1, least(6, floor(x * 10 + 0.5D))) END AS int) AS rank FROM {points}"""
+STAMPS = """
+    SELECT f.follower_id AS viewer, concat(f.followed_id, ':', cast(l.revision AS {str})) AS stamp FROM {follows} f
+    JOIN (SELECT user_id, max(revision) AS revision FROM {revisions} GROUP BY user_id) l ON l.user_id = concat('u', substr(f.followed_id, 2))"""
+SQL["a14_stamp_signature"] = f"SELECT viewer, string_agg(stamp, ' ' ORDER BY stamp) AS signature FROM ({STAMPS}) s GROUP BY viewer"
+
 # -- how strong each said attribute is where one word spells it exactly: no search, that is n08_search_feed ------
 SQL["attribute_strength"] = """
     SELECT viewer, item_id, tag, round(sqrt((0.5D + 1.0D * (applies - 0.5D)) * ((1 + score) / 2)), 6) AS strength FROM {scores} WHERE tag <> ''"""
@@ -385,16 +439,21 @@ SQL["attribute_strength_places"] = """
         FROM {scores} WHERE tag <> '') r"""
 
 
+def _squared_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opinions.squared_size(*(table(spark, sf_dir, n) for n in ("thumbs", "follows", "said")))
+
+
+def _stamp_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signature = F.array_join(F.array_sort(F.collect_list("stamp")), " ")  # one stamp for each account followed
+    return run_sql(spark, sf_dir, STAMPS).groupBy("viewer").agg(signature.alias("signature"))
+
+
 #: Spark's own way to some of the results; their SQL is the check alone.
-BUILT = {
-    "a02_squared_size": lambda t: opinions.squared_size(t("thumbs"), t("follows"), t("said")),
-}
+BUILT = {"a02_squared_size": _squared_size, "a14_stamp_signature": _stamp_signature}
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    if name in BUILT:
-        return BUILT[name](lambda n: table(spark, sf_dir, n))
-    return run_sql(spark, sf_dir, SQL[name])
+    return BUILT[name](spark, sf_dir) if name in BUILT else run_sql(spark, sf_dir, SQL[name])
 
 
 def queries():

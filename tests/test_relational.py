@@ -8,7 +8,7 @@ import pytest
 from palate.plans import registry
 
 
-@pytest.mark.parametrize("prefix, item", [("w07_", "W-07"), ("f24_", "F-24"), ("p09_", "P-09"), ("p20_", "P-20"), ("n14_", "N-14"), ("d05_", "D-05")])
+@pytest.mark.parametrize("prefix, item", [("d04_", "D-04"), ("d05_", "D-05"), ("d09_", "D-09"), ("n10_", "N-10")])
 def test_what_is_not_built_is_said_and_not_registered(prefix, item):
     names = {**registry.queries(), **registry.oracle_sql()}
     missing = (pathlib.Path(__file__).parents[1] / "README.md").read_text().split("## Not built yet")[1]
