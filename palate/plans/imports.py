@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import exports as X
+from ..sources import snapshots as Z
 from ..sources.derived import run_sql, table
 
 BASE = """
@@ -284,16 +285,37 @@ S21 = """
                CASE WHEN value > 0 THEN 'yes' ELSE 'no' END, ',', coalesce(source, ''), ',', coalesce(id, ''), ',', coalesce(link, '')) AS line
         FROM (""" + OWN + """) o) l GROUP BY user_id"""
 
+def s18_snapshots(spark, sf_dir):
+    """Every viewer's snapshot written as JSON and read back."""
+    texts = Z.write_snapshots(table(spark, sf_dir, "thumbs"), table(spark, sf_dir, "follows"))
+    return Z.read_snapshots(texts)[1].groupBy("viewer", "user_id").agg(F.count("*").alias("n_rows"), F.sum("value").alias("balance"), F.min("item_id").alias("first_item"), F.max("tag").alias("last_tag"))
+
+
+S18 = """
+    SELECT w.viewer, w.user_id, count(*) AS n_rows, cast(sum(t.value) AS bigint) AS balance, min(t.item_id) AS first_item, max(t.tag) AS last_tag FROM (
+        SELECT follower_id AS viewer, followed_id AS user_id FROM {follows} UNION SELECT follower_id, follower_id FROM {follows}) w
+    JOIN {thumbs} t ON t.user_id = w.user_id GROUP BY w.viewer, w.user_id"""
+
+
+def s19_results(spark, sf_dir):
+    """What is said to every viewer as a result text, without a plot."""
+    scores = table(spark, sf_dir, "scores").withColumns({"kind": F.lit("score"), "point": F.lit(None).cast("array<double>")})
+    texts = Z.write_results(scores)
+    return texts.select("viewer", F.expr("size(map_keys(from_json(text, 'scores map<string, struct<score: double>>').scores))").cast("long").alias("n_scores"), F.get_json_object("text", "$.viewer").alias("named"))
+
+
+S19 = "SELECT viewer, count(*) AS n_scores, viewer AS named FROM {scores} GROUP BY viewer"
+
 QUERIES = {
     f.__name__: f
     for f in (
         s04_read_exports, s06_imdb, s07_letterboxd, s08_goodreads, s09_storygraph, s10_netflix_profiles, s11_netflix_chosen, s12_maps, s13_spotify,
-        s14_trakt, s17_prefilled, s21_export_files,
+        s14_trakt, s17_prefilled, s18_snapshots, s19_results, s21_export_files,
     )
 }
 ORACLES = {
     "s04_read_exports": S04, "s06_imdb": S06, "s07_letterboxd": S07, "s08_goodreads": S08, "s09_storygraph": S09, "s10_netflix_profiles": S10,
-    "s11_netflix_chosen": S11, "s12_maps": S12, "s13_spotify": S13, "s14_trakt": S14, "s17_prefilled": S17, "s21_export_files": S21,
+    "s11_netflix_chosen": S11, "s12_maps": S12, "s13_spotify": S13, "s14_trakt": S14, "s17_prefilled": S17, "s18_snapshots": S18, "s19_results": S19, "s21_export_files": S21,
 }
 
 
