@@ -261,6 +261,16 @@ SQL["n03_gram"] = """
     SELECT label, round(sum(x * x), 6) AS xx, round(sum(x * y), 6) AS xy, round(sum(x * z), 6) AS xz, round(sum(y * y), 6) AS yy,
            round(sum(y * z), 6) AS yz, round(sum(z * z), 6) AS zz FROM {points} GROUP BY label"""
 
+# -- links of names ------------------------------------------------------------------------------------------
+LINKS = """
+    SELECT p_partkey AS part, concat(p_name, ' ', lower(p_type)) AS item_id,
+           CASE p_partkey % 3 WHEN 0 THEN 'imdb' WHEN 1 THEN 'wikidata' ELSE 'osm' END AS source,
+           CASE p_partkey % 7 WHEN 0 THEN concat('x', cast(p_partkey AS {str})) ELSE concat(
+               CASE p_partkey % 3 WHEN 0 THEN 'tt' WHEN 1 THEN 'Q' ELSE 'N' END, cast(p_partkey AS {str})) END AS ref FROM {part}"""
+PATTERNS = """
+    SELECT * FROM (VALUES ('imdb', '^tt[0-9]+$', 'https://www.imdb.com/title/'), ('wikidata', '^Q[1-9][0-9]*$', 'https://www.wikidata.org/wiki/'),
+        ('osm', '^[NWR][0-9]+$', 'https://www.openstreetmap.org/')) AS t(source, pattern, base)"""
+
 # -- windows, the change log and writes ---------------------------------------------------------------------
 SQL["w01_first_per_key"] = """
     SELECT user_id, item_id, event_id FROM (SELECT user_id, item_id, event_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY event_id) AS k
@@ -350,6 +360,35 @@ SQL["d15_import_standing"] = """
 SQL["d16_revoked_links"] = """
     SELECT p.id FROM {profiles} p WHERE NOT p.prefilled AND NOT EXISTS (
         SELECT 1 FROM {still} f JOIN {profiles} q ON q.id = f.followed_id WHERE f.follower_id = p.id AND NOT q.prefilled)"""
+UNLOCKED = """
+    SELECT p.id FROM {profiles} p WHERE EXISTS (
+        SELECT 1 FROM {still} f JOIN {profiles} q ON f.followed_id = q.id WHERE f.follower_id = p.id AND NOT q.prefilled)"""
+REQUESTS = """
+    SELECT concat('c', cast(c_custkey AS {str})) AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'back' ELSE 'prefilled' END AS kind,
+           concat('c', cast(CASE c_custkey % 3 WHEN 2 THEN 25 * (c_custkey % 4 + 1) ELSE c_custkey + c_custkey % 5 - 1 END AS {str})) AS target FROM {customer}"""
+SQL["d04_follow_requests"] = f"""
+    SELECT DISTINCT user_id AS follower_id, target AS followed_id FROM (
+        SELECT r.user_id, l.id AS target FROM ({REQUESTS}) r JOIN {{profiles}} l ON md5(l.id) = md5(r.target) AND NOT l.prefilled
+        JOIN ({UNLOCKED}) u ON u.id = l.id WHERE r.kind = 'link' AND l.id <> r.user_id
+        UNION ALL SELECT r.user_id, r.target FROM ({REQUESTS}) r JOIN {{follows}} f ON f.follower_id = r.target AND f.followed_id = r.user_id
+        JOIN ({UNLOCKED}) u ON u.id = r.user_id WHERE r.kind = 'back'
+        UNION ALL SELECT r.user_id, r.target FROM ({REQUESTS}) r JOIN {{profiles}} p ON p.id = r.target AND p.prefilled
+        JOIN ({UNLOCKED}) u ON u.id = r.user_id WHERE r.kind = 'prefilled') e
+    WHERE NOT EXISTS (SELECT 1 FROM {{follows}} g WHERE g.follower_id = e.user_id AND g.followed_id = e.target)"""
+SQL["d09_removed_reports"] = f"""
+    SELECT r.item_id, r.reports, l.source, l.ref FROM (
+        SELECT item_id, count(DISTINCT user_id) AS reports FROM {{thumbs}} WHERE value = -1 AND tag = '' GROUP BY item_id HAVING count(DISTINCT user_id) >= 3) r
+    LEFT JOIN (SELECT item_id, source, min(ref) AS ref FROM ({LINKS}) k GROUP BY item_id, source) l ON l.item_id = r.item_id"""
+SQL["d13_profile_edits"] = """
+    SELECT p.id, coalesce(nullif(trim(e.display_name), ''), p.display_name) AS display_name, e.id IS NOT NULL AS edited FROM {profiles} p
+    LEFT JOIN (SELECT concat('c', cast(c_custkey AS {str})) AS id, CASE WHEN c_custkey % 8 = 0 THEN ' ' ELSE concat(c_name, '!') END AS display_name
+               FROM {customer} WHERE c_custkey % 4 = 0) e ON e.id = p.id AND NOT p.prefilled"""
+SQL["d17_kept_diagnostics"] = """
+    SELECT event_id, user_id, event_type FROM {events} WHERE ts > (SELECT max(ts) FROM {events}) - INTERVAL 168 HOUR"""
+SQL["d18_held_links"] = f"""
+    SELECT h.item_id, min(h.source) AS source FROM ({LINKS}) h JOIN ({PATTERNS}) p ON p.source = h.source AND regexp_like(h.ref, p.pattern)
+    WHERE EXISTS (SELECT 1 FROM {{thumbs}} t WHERE t.item_id = h.item_id) AND NOT EXISTS (SELECT 1 FROM {{removed}} r WHERE r.id = h.item_id)
+    GROUP BY h.item_id"""
 SQL["t10_follow_events"] = "SELECT followed_id AS subscriber, count(*) AS events FROM {follows} GROUP BY followed_id"
 
 # -- imports ------------------------------------------------------------------------------------------------
@@ -370,14 +409,6 @@ SQL["f18_j16_places_near"] = """
     ON a.cx = b.cx AND a.cy = b.cy AND a.vec_id <> b.vec_id
     WHERE 2 * 6371000.0D * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 200"""
 SQL["f19_round_position"] = "SELECT vec_id, floor(x * 100 + 0.5D) / 100 AS lon, floor(y * 100 + 0.5D) / 100 AS lat FROM {points}"
-LINKS = """
-    SELECT p_partkey AS part, concat(p_name, ' ', lower(p_type)) AS item_id,
-           CASE p_partkey % 3 WHEN 0 THEN 'imdb' WHEN 1 THEN 'wikidata' ELSE 'osm' END AS source,
-           CASE p_partkey % 7 WHEN 0 THEN concat('x', cast(p_partkey AS {str})) ELSE concat(
-               CASE p_partkey % 3 WHEN 0 THEN 'tt' WHEN 1 THEN 'Q' ELSE 'N' END, cast(p_partkey AS {str})) END AS ref FROM {part}"""
-PATTERNS = """
-    SELECT * FROM (VALUES ('imdb', '^tt[0-9]+$', 'https://www.imdb.com/title/'), ('wikidata', '^Q[1-9][0-9]*$', 'https://www.wikidata.org/wiki/'),
-        ('osm', '^[NWR][0-9]+$', 'https://www.openstreetmap.org/')) AS t(source, pattern, base)"""
 SQL["p09_j06_link_patterns"] = f"""
     SELECT l.part, l.item_id, l.source, l.ref FROM ({LINKS}) l JOIN ({PATTERNS}) p ON l.source = p.source AND regexp_like(l.ref, p.pattern)"""
 SQL["f31_reference_urls"] = f"""
