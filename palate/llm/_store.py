@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``, through Spark's own reader."""
@@ -25,39 +25,10 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
-
-    Only local mode (tests) may do without: there, driver and executors are one process, and a folder of this
-    machine is set. On a cluster that names none this raises.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="palate-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/palate/{spark.sparkContext.applicationId}"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    pin_splits(spark)
-    path = f"{saved_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_saved(spark: SparkSession) -> None:
-    """Delete the tables that this application has saved. Results that are not yet written still read them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    pin_splits(df.sparkSession)
+    return store.save(df, name)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -75,6 +46,14 @@ def with_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def in_fold(doc_id, folds: int):
     """True for rows whose crc32(doc_id as text) is a multiple of ``folds`` (null ids: as text '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == 0

@@ -13,7 +13,11 @@ go to all tasks as a table of bounded size. Everything else is asked for: a bloc
 ``BLOCK_BYTES`` of text, or one longer text) sends each distinct pair of neighbouring words, and each word
 beyond the table, once, with how often it holds it. The questions meet by key, which gives the corpus's counts,
 and go back to the blocks that need an answer: not to those that hold all there are themselves.
-So no key gathers more rows than there are blocks, however common it is.
+So no key gathers more rows than there are blocks, however common it is: a block asks some hundred thousand
+questions, so that is far less than one in a hundred thousand of all rows, and Spark spills them.
+
+A text longer than a block comes in pieces, cut after white space. A piece begins with the word before it, which
+is only context there; the pieces' sums add up to the text's.
 
 The scan is cut into the same blocks each time, so ``docs`` has to come from files or a saved table.
 
@@ -32,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import give_back, slices, text_bytes
-from ._store import read_table, release, save
-from ._words import U, mix, padded, words
+from ._store import pin_splits, read_table, release, save
+from ._words import U, mix, padded, tiles, words
 
 FOLDS, EM_FOLD = 10, 1
 TABLE = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 ALPHA = 0.1
 START, END = int(mix(np.array([11], U))[0]), int(mix(np.array([13], U))[0])
 BUCKETS = 24
@@ -48,37 +52,64 @@ _RARE_WORD, _RARE_PAIR = U(1 << 62), U(1 << 63)
 
 
 def folded(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, fold)"""
+    """(doc_id, text, fold, row)"""
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     return docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), number.cast("int").alias("fold")
+        F.col("doc_id").cast("long"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        number.cast("int").alias("fold"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 class Block:
-    """The tokens of some rows: word hashes with an end token after each row's."""
+    """The tokens of some rows: word hashes with an end token after each row's. Of a piece of one row: ``before`` is
+    the hash of the word before it, a token that counts for nothing, and there is no end unless it is the last."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, before: int | None = None, ended: bool = True):
         w = words(data, offsets, lower=True)
-        self.counts = w.counts + 1
-        self.hashes, self.first = padded(w.hashes, w.counts, 1, END)
+        self.hashes, self.first = padded(w.hashes, w.counts, int(ended), END)
+        self.counts, self.context = w.counts + int(ended), int(before is not None)
+        if self.context:
+            self.hashes = np.concatenate([np.array([before], np.int64).view(U), self.hashes])
+            self.counts = self.counts + 1
         self.before = np.empty_like(self.hashes)
         self.before[1:] = self.hashes[:-1]
         self.before[self.first] = START
         self.train = np.repeat(fold != 0, self.counts)
         self.em = np.repeat(fold == EM_FOLD, self.counts)
+        self.train[: self.context] = self.em[: self.context] = False
 
 
-def blocks(batches) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
-    """Numbered blocks of a partition: the same for every scan of the same rows."""
+def blocks(batches, limit: int) -> Iterator[tuple[int, pa.RecordBatch, int, int, tuple]]:
+    """The blocks of a partition, the same for every scan of the same rows: number, batch, its rows from and to, and
+    what makes the block."""
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         fold = batch.column(2).to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets, BLOCK_BYTES):
-            yield (part << 24) + number, batch.slice(a, b - a), Block(data, offsets[a : b + 1], fold[a:b])
-            give_back()
-            number += 1
+        for a, b in slices(offsets, limit):
+            for x, y, before, ended in _pieces(data, offsets[a : b + 1], limit):
+                cuts = offsets[a : b + 1] if b > a + 1 else np.array([x, y])
+                yield (part << 24) + number, batch, a, b, (data, cuts, fold[a:b], before, ended)
+                give_back()
+                number += 1
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, int | None, bool]]:
+    """The bytes of some rows, or in turn those of the pieces of one long row."""
+    begin, end = int(offsets[0]), int(offsets[-1])
+    if end - begin <= limit or len(offsets) > 2:
+        yield begin, end, None, True
+        return
+    before = None
+    for x, y in tiles(data[begin:end], np.array([0, end - begin]), limit):
+        last = y == end - begin
+        w = words(data, np.array([begin + x, begin + y]), lower=True)
+        if last or len(w.hashes):  # white space alone is no piece
+            yield begin + x, begin + y, before, last
+        if len(w.hashes):
+            before = int(w.hashes[-1:].view(np.int64)[0])
 
 
 def totals(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -90,16 +121,18 @@ def totals(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return (ordered[at], *sums, order[at])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """(w, c, e): how often training documents hold each word, and how often those held out for the weights."""
 
     def run(batches):
-        for _, _, block in blocks(batches):
+        for *_, given in blocks(batches, limit):
+            block = Block(*given)
             w, c, e, _ = totals(block.hashes, block.train, block.em)
             some = c > 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w[some].view(np.int64)), pa.array(c[some]), pa.array(e[some])], names=["w", "c", "e"]
             )
+            del block, w, c, e, some
 
     return (
         folded(docs).mapInArrow(run, "w long, c long, e long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
@@ -116,6 +149,12 @@ class Table:
         self.number = np.empty_like(self.by_number)  # by falling count: frequent words have small numbers
         self.number[self.by_number] = np.arange(len(w), dtype=np.int32)
 
+    def light(self) -> Table:
+        """Without what only the held-out counts need: the copy that goes to every worker."""
+        out = object.__new__(Table)
+        out.w, out.c, out.number = self.w, self.c, self.number
+        return out
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and whether the words are there."""
         at, there = np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
@@ -158,11 +197,15 @@ def pair_keys(table: Table, block: Block) -> tuple[np.ndarray, ...]:
     return keys, at_h, has_h, at_w, has_w
 
 
-def questions(docs: DataFrame, table: Table) -> DataFrame:
-    """(k, p, c, e, h, w): each block's distinct pairs and rare words, with its own training counts."""
+def questions(docs: DataFrame, table: Table, limit: int = BLOCK_BYTES) -> DataFrame:
+    """(k, p, ce, hw): each block's distinct pairs and rare words, with its own training counts (c << 32 | e); where some
+    of those are held out and the key does not name the words, hw holds their hashes. Rows are few numbers, since there
+    are nearly as many as tokens."""
+    table = table.light()
 
     def run(batches):
-        for p, _, block in blocks(batches):
+        for p, *_, given in blocks(batches, limit):
+            block = Block(*given)
             keys, _, has_h, _, has_w = pair_keys(table, block)
             k, c, e, at = totals(keys, block.train, block.em)
             rare = np.flatnonzero(~has_w)
@@ -172,43 +215,41 @@ def questions(docs: DataFrame, table: Table) -> DataFrame:
                 np.concatenate(x)
                 for x in (
                     (k.view(np.int64), k1.view(np.int64)),
-                    (c.astype(np.int32), c1.astype(np.int32)),
-                    (e.astype(np.int32), e1.astype(np.int32)),
+                    (c << 32 | e, c1 << 32 | e1),
                     (block.before[at].view(np.int64), k1.view(np.int64)),
                     (block.hashes[at].view(np.int64), k1.view(np.int64)),
-                    (~named, np.ones(len(k1), bool)),
+                    (~named | (e == 0), np.ones(len(k1), bool)),
                 )
             ]
             del block, keys, has_h, has_w, k, c, e, at, k1, c1, e1, at1, rare, named
             for a in range(0, len(columns[0]), CHUNK):
-                key, c, e, h, w, hide = (x[a : a + CHUNK] for x in columns)
+                key, ce, h, w, hide = (x[a : a + CHUNK] for x in columns)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key),
                         pa.array(np.full(len(key), p, np.int64)),
-                        pa.array(c),
-                        pa.array(e),
-                        pa.array(h, mask=hide),
-                        pa.array(w, mask=hide),
+                        pa.array(ce),
+                        pa.StructArray.from_arrays([pa.array(h), pa.array(w)], ["h", "w"], mask=pa.array(hide)),
                     ],
-                    names=["k", "p", "c", "e", "h", "w"],
+                    names=["k", "p", "ce", "hw"],
                 )
             del columns
 
-    return folded(docs).mapInArrow(run, "k long, p long, c int, e int, h long, w long")
+    return folded(docs).mapInArrow(run, "k long, p long, ce long, hw struct<h: long, w: long>")
 
 
 def answers(asked: DataFrame) -> DataFrame:
     """(k, p, total, held, first, h, w): the corpus's counts of what each block asked for. Left out are keys that
-    training holds in this block only, or not at all; ``first`` marks one row of each key."""
+    training holds in this block only, or not at all; ``first`` marks one row of each key that has held-out counts."""
     w = Window.partitionBy("k")
+    c, e = F.shiftright("ce", 32), F.col("ce").bitwiseAND((1 << 32) - 1)
+    asked = asked.repartition("k").select("k", "p", c.alias("c"), e.alias("e"), "hw")
+    first = F.col("p") == F.min(F.when(F.col("e") > 0, F.col("p"))).over(w)
     told = asked.select(
-        "*", F.sum("c").over(w).alias("total"), F.sum("e").over(w).alias("held"), (F.min("p").over(w) == F.col("p")).alias("first")
+        "*", F.sum("c").over(w).alias("total"), F.sum("e").over(w).alias("held"), F.coalesce(first, F.lit(False)).alias("first")
     )
     useful = F.col("total") != F.col("c")
-    return told.where(useful | (F.col("first") & (F.col("held") > 0))).select(
-        "k", "p", F.col("total").cast("int"), F.col("held").cast("int"), "first", "h", "w"
-    )
+    return told.where(useful | F.col("first")).select("k", "p", "total", "held", "first", "hw.h", "hw.w")
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -243,7 +284,7 @@ def _held_out(answered: DataFrame, counts: DataFrame, table: Table, n: int, v: i
             total, held, ch, cw = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             yield cells(total - held, ch, cw, held)
 
-    once = answered.where("first AND held > 0")
+    once = answered.where("first")
     near = once.where("k >= 0 AND k < 1099511627776")
     near = near.select("k", "total", "held").mapInArrow(known, "cell long, held long")
     far = once.where("h IS NOT NULL")
@@ -307,8 +348,11 @@ class Model:
             p = estimates(pair[z], context[z], word[z], self.n, self.v)
             base[z] = np.log10(p[2])
             mixed[z] = np.log10((self.weights[bucket(context[z])] * np.stack(p, 1)).sum(1))
+        known = (word > 0).astype(np.int64)
+        own = slice(0, block.context)  # the word before a piece
+        known[own] = base[own] = mixed[own] = 0
         add = lambda x: np.add.reduceat(x, block.first)
-        return block.counts, add((word > 0).astype(np.int64)), add(base), add(mixed)
+        return block.counts - block.context, add(known), add(base), add(mixed)
 
     @staticmethod
     def _ends(block: Block, k: np.ndarray, total: np.ndarray) -> int:
@@ -330,30 +374,56 @@ def _look_up(keys: np.ndarray, train: np.ndarray, k: np.ndarray, total: np.ndarr
     return count[index]
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, limit: int = BLOCK_BYTES) -> tuple[Model, DataFrame]:
     """The model, and the answers (k, p, total, ...) to each block's questions."""
     spark = docs.sparkSession
-    counts = save(word_counts(docs), "word-counts")
+    counts = save(word_counts(docs, limit), "word-counts")
     release(spark)
     size = counts.agg(F.sum("c"), F.count("*"), F.sum("e"), F.sum(F.when(F.col("c") > F.col("e"), 1))).first()
     n, v, held, main_v = (int(x or 0) for x in size)
     table = frequent(counts, TABLE - 1)
-    answered = save(answers(questions(docs, table)), "answers")
+    answered = save(answers(questions(docs, table, limit)), "answers")
     release(spark)
     weights = mixture_weights(_held_out(answered, counts, table, n - held, main_v))
     return Model(table, weights, n, v), answered
 
 
-SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
+_SCORES_ARROW = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("fold", pa.int32()),
+        ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()),
+        ("base_score", pa.float64()),
+        ("score", pa.float64()),
+    ]
+)
+SCORES = "row long, doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(docs: DataFrame) -> tuple[DataFrame, Model]:
+def scored(docs: DataFrame, limit: int = BLOCK_BYTES) -> tuple[DataFrame, Model]:
     """(doc_id, fold, n_tokens, n_known, base_score, score) of every row, and the model."""
-    model, answered = learn(docs)
+    pin_splits(docs.sparkSession)
+    full, answered = learn(docs, limit)
+    model = Model(full.table.light(), full.weights, full.n, full.v)
 
     def numbered(batches):
-        for p, batch, _ in blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(batch), pa.int64()), *batch.columns], names=["p", *batch.schema.names])
+        for p, batch, a, b, (data, cuts, _, before, ended) in blocks(batches, limit):
+            n, rows = b - a, batch.slice(a, b - a)
+            text = rows.column(1) if n > 1 or (before is None and ended) else pa.array([data[cuts[0] : cuts[1]].tobytes()]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p] * n, pa.int64()),
+                    rows.column(3),
+                    rows.column(0),
+                    rows.column(2),
+                    text,
+                    pa.array([before] * n, pa.int64()),
+                    pa.array([ended] * n),
+                ],
+                names=["p", "row", "doc_id", "fold", "text", "before", "ended"],
+            )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -361,30 +431,26 @@ def scored(docs: DataFrame) -> tuple[DataFrame, Model]:
         text = left.column("text").combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         data, offsets = text_bytes(text)
-        block = Block(data, offsets, left.column("fold").to_numpy())
+        before, ended = left.column("before")[0].as_py(), left.column("ended")[0].as_py()
+        block = Block(data, offsets, left.column("fold").to_numpy(), before, ended)
         k = right.column("k").to_numpy().view(U)
         total = right.column("total").to_numpy()
         order = np.argsort(k)
-        found = model.rows(block, k[order], total[order])
-        del block, k, total, order
+        k, total = k[order], total[order]
+        del order
+        found = model.rows(block, k, total)
+        out = [left.column(c) for c in ("row", "doc_id", "fold")]
+        del block, k, total, left, right, text, data
         give_back()
-        return pa.table([left.column("doc_id"), left.column("fold"), *(pa.array(x) for x in found)], schema=_SCORES_ARROW)
+        return pa.table([*out, *(pa.array(x) for x in found)], schema=_SCORES_ARROW)
 
-    rows = folded(docs).mapInArrow(numbered, "p long, doc_id long, text string, fold int")
+    kept = "p long, row long, doc_id long, fold int, text string, before long, ended boolean"
+    rows = folded(docs).mapInArrow(numbered, kept)
     told = answered.select("p", "k", "total")
-    return rows.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(run, SCORES), model
-
-
-_SCORES_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("fold", pa.int32()),
-        ("n_tokens", pa.int64()),
-        ("n_known", pa.int64()),
-        ("base_score", pa.float64()),
-        ("score", pa.float64()),
-    ]
-)
+    pieces = rows.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(run, SCORES)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    ids = [F.first(c).alias(c) for c in ("doc_id", "fold")]
+    return pieces.groupBy("row").agg(*ids, *sums).drop("row"), full
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
