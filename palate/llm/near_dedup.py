@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import slices, text_bytes
-from ._store import read_table, release, save
+from ._skew import hot_keys, join_back
+from ._store import pin_splits, read_table, release, save, without_rows
 from ._words import U, mix, padded, runs, sequence_hash, words
 
 RUN, SLOTS, ROWS = 5, 128, 4
@@ -248,8 +249,10 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
     place = F.xxhash64("fp", F.col("band") % PIVOTS)
     pivot = F.min(F.struct(place.alias("place"), F.col("fp"), F.col("n")))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1")
+    buckets = save(buckets, "buckets")
+    hot = hot_keys(buckets, ["band", "key"], "size")
     open_members = save(
-        members.join(buckets, ["band", "key"]).select(
+        join_back(members, buckets, ["band", "key"], hot, ["fp"]).select(
             "band", "key", "fp", "n", F.col("pivot.fp").alias("pivot"), F.col("pivot.n").alias("pivot_n")
         ),
         "buckets",
@@ -276,7 +279,7 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
     # from here on only the runs that many texts hold can link
     share = share.where(F.col("f") >= similarity * F.col("n") - 1e-9)
     several, _ = _several(members.select("band", "key", "fp", "n"), labels)
-    own = rows.join(share.select("fp", "f"), "fp").groupBy("fp").agg(F.first("bands").alias("bands"), F.first("f").alias("f"))
+    own = texts.select("fp", "bands").join(share.select("fp", "f"), "fp")
     members = save(several.drop("label", "outside").join(own, "fp"), "buckets")
     at_once = 1  # the middle of each bucket alone, then ever more, so that rounds stay few
     while True:
@@ -376,27 +379,29 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row, class_id, class_size, kept) for every row of ``docs`` (doc_id, text, ...)."""
+    pin_splits(docs.sparkSession)
     rows = save(signed(docs), "signatures")
     labels = linked(docs, rows, similarity)
     own = rows.select("doc_id", "fp", "row")
-    told = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = told.where("label IS NOT NULL").groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
-    grouped = told.join(classes, "label", "left")
-    alone = F.col("label").isNull()
-    return grouped.select(
-        "doc_id",
-        "row",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    texts = own.where("fp IS NOT NULL").groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    texts = texts.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    texts = save(texts, "texts")
+    sums = [F.min("first").alias("first"), F.sum("n").alias("class_size"), F.count("*").alias("texts")]
+    classes = save(texts.groupBy("label").agg(*sums), "classes")
+    told = join_back(texts.select("fp", "label"), classes, ["label"], hot_keys(classes, ["label"], "texts"), ["fp"])
+    told = told.select("fp", "first", "class_size")
+    found = join_back(own.where("fp IS NOT NULL"), told, ["fp"], hot_keys(texts, ["fp"], "n"), ["row"])
+    grouped = found.select(
+        "doc_id", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")
     )
+    one, yes = F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
+    return grouped.union(own.where("fp IS NULL").select("doc_id", "row", F.col("doc_id").alias("class_id"), one, yes))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class, all its columns unchanged."""
-    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    """``docs`` with one row of each class, all its columns unchanged, whatever their names."""
+    return without_rows(docs, near_duplicates(docs, similarity).where(~F.col("kept")).select("row"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
