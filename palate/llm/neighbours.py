@@ -12,8 +12,9 @@ has k), so copies neither crowd the graph nor the beams. All finds are measured
 
 Defined results: vectors that are null, zero, or hold null, NaN or infinite components take no part; vectors of
 different length are never compared; queries with fewer than k candidates get all of them; ties go to the smaller
-vec_id; repeated vec_ids are candidates each but are not found by their own id; an empty table gives an empty
-result; other columns are ignored.
+vec_id; rows that share a vec_id are candidates each, and a query drops one row only, its own; of several rows with
+a query's vec_id the one with the smallest vector asks; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -199,6 +200,7 @@ def _answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asked: list
     out = {name: [] for name in ("query_id", "vec_id", "score")}
     found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
     for query, vector, hits in zip(asked, own, found, strict=True):
+        left_out = False  # the query's own row
         hits = hits[hits >= 0]
         exact = np.sqrt(((vectors[hits] - vector) ** 2).sum(1))
         order, most = np.argsort(exact, kind="stable"), 0
@@ -206,7 +208,11 @@ def _answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asked: list
         for h in order.tolist():
             if most >= k and exact[h] > pairs[k - 1][0]:
                 break
-            pairs += [(float(exact[h]), i) for i in ids[hits[h]] if i != query]
+            near = list(ids[hits[h]])
+            if not left_out and query in near and np.array_equal(vectors[hits[h]], vector):
+                near.remove(query)
+                left_out = True
+            pairs += [(float(exact[h]), i) for i in near]
             most = len(pairs)
             pairs.sort()
         for score, i in pairs[:k]:
@@ -237,9 +243,14 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def one_each(queries: DataFrame) -> DataFrame:
+    """(vec_id, vector): of rows with one vec_id the smallest vector asks."""
+    return queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "embeddings")
-    return nearest(table, usable(table).where(F.col("vec_id") % 100 == 0).dropDuplicates(["vec_id"]))
+    return nearest(table, one_each(usable(table).where(F.col("vec_id") % 100 == 0)))
 
 
 QUERIES = {"op4_neighbours": op4_neighbours}

@@ -96,3 +96,10 @@ def test_recall_at_full_shard_size():
     hits = [len(set(f[:10]) & set(np.argsort(((v - x) ** 2).sum(1), kind="stable")[:10])) / 10 for f, x in zip(found, v[:200], strict=True)]
     print("recall", np.mean(hits))
     assert np.mean(hits) >= 0.9
+
+
+def test_repeated_ids_lose_their_own_row_only(spark):
+    rows = [(100, [1.0, 0.0]), (100, [2.0, 0.0]), (100, [1.0, 0.0]), (7, [1.0, 0.5]), (None, [1.0, 1.0]), (9, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = N.nearest(table, N.one_each(N.usable(table).where("vec_id = 100"))).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in found] == [(100, 100, 0.0), (100, 7, 0.5), (100, 100, 1.0)]
