@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import SLICE_BYTES, slices, text_bytes
-from ._store import in_fold, read_table, with_text
+from ._store import free_name, in_fold, read_table, with_text
 
 WIDTH, FILTERS, CHUNK, GRAM, LAGS = 6, 16, 256, 6, 48
 PAD = 512
@@ -165,8 +165,9 @@ def _gradient(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> Mode
     z = mean @ model["mean"] + top @ model["top"] + model["rest"]
     dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels).astype(np.float32) / len(labels)
     dhidden = np.repeat(dz[:, None] * model["mean"] / sizes[:, None], sizes, axis=0)
-    dtop = np.repeat(dz[:, None] * model["top"], sizes, axis=0)
-    dhidden += np.where(hidden == np.repeat(top, sizes, axis=0), dtop, 0)
+    highest = hidden == np.repeat(top, sizes, axis=0)
+    ties = np.add.reduceat(highest.astype(np.float32), at[:-1], axis=0)  # equal chunks share what the top gets
+    dhidden += np.where(highest, np.repeat(dz[:, None] * model["top"] / ties, sizes, axis=0), 0)
     dact = np.where(maxima + model["bias"] > 0, dhidden, 0)
     dfilters = np.zeros_like(filters)
     rows, columns = np.arange(len(syms))[:, None], np.arange(FILTERS)[None, :]
@@ -212,20 +213,26 @@ def learn(docs: DataFrame, labels: DataFrame, steps: int = STEPS) -> Model:
     return dict(np.load(io.BytesIO(found[0].model)))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``; other columns stay (one named score is replaced)."""
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into``, the score; other columns stay (one of that name is replaced)."""
+    kept = [c for c in docs.columns if c != into]
+    schema = docs.select(*kept).withColumn(into, F.lit(0.0)).schema
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
             score = pa.array(scores(model, batch.column(names.index("text"))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, into])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose texts score at least ``threshold``, all columns unchanged, whatever their names."""
+    into = free_name(docs, "score")
+    return scored(docs, model, into).where(F.col(into) >= threshold).select(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_text(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = learn(docs, read_table(spark, sf_dir, "labels"))

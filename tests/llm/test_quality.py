@@ -43,6 +43,34 @@ def test_forward_equals_brute_force(model):
     assert np.allclose(alone, got, atol=1e-6)
 
 
+@pytest.mark.parametrize("size", [1023, 1024, 1025, 5000])
+def test_long_text_in_tiles(model, monkeypatch, size):
+    text = bytes(np.random.default_rng(size).integers(97, 101, size)).decode()
+    want = Q.scores(model, pa.array([text]))
+    monkeypatch.setattr(Q, "SLICE_BYTES", 1024)
+    assert np.array_equal(Q.scores(model, pa.array([text])), want)
+
+
+def test_gradient_by_finite_differences(model):
+    texts, labels = [b"plain words in a row " * 30, b"### %%% " * 9, b"a"], np.array([1.0, 0.0, 1.0])
+    m = {k: v.astype(np.float64) for k, v in model.items()}
+    column = pa.array([t.decode() for t in texts])
+
+    def loss():
+        p = Q.scores(m, column)
+        return -np.mean(np.log(np.where(labels == 1, p, 1 - p)))
+
+    for name, g in Q._gradient(m, [Q._chunks(t) for t in texts], labels).items():
+        for at in np.argsort(-np.abs(g).ravel())[:6]:
+            flat, step = m[name].reshape(-1), 1e-5
+            kept = flat[at]
+            flat[at] = kept + step
+            up = loss()
+            flat[at] = kept - step
+            assert (up - loss()) / (2 * step) == pytest.approx(g.ravel()[at], rel=2e-2, abs=1e-6), name
+            flat[at] = kept
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
