@@ -181,9 +181,10 @@ def pick_places(rows: DataFrame, places: DataFrame, reach: float = REACH_METRES)
     poles, as many times wider as parallels are shorter there. Longitudes close round at 180 degrees."""
     height = max(CELL, reach / 111_000 * 1.01)
     row_of = lambda lat: F.floor(lat / height).cast("long")
-    # cells of one row are equally wide: by the parallel nearest to a pole in it or its neighbours
-    width = lambda k: F.lit(height) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(k), F.abs(k + 1)) * height + height, F.lit(90.0)))), F.lit(1e-3))
-    around = lambda k: F.greatest(F.floor(F.lit(360.0) / width(k)), F.lit(1)).cast("long")
+    # cells of one row are equally wide: by the parallel nearest to a pole in it or its neighbours; within about 60 km of
+    # a pole a row is one cell
+    short = lambda k: F.cos(F.radians(F.least(F.greatest(F.abs(k), F.abs(k + 1)) * height + height, F.lit(90.0))))
+    around = lambda k: F.when(short(k) < 0.01, 1).otherwise(F.floor(360.0 / height * short(k))).cast("long")
     column = lambda lon, k: F.least(F.floor((lon + 180) / 360 * around(k)).cast("long"), around(k) - 1)
     here = rows.select("row", F.col("name").alias("wanted"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.sequence(row_of(F.col("lat")) - 1, row_of(F.col("lat")) + 1)).alias("ky"))
     here = here.withColumn("kx", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("lon1"), F.col("ky")) + d, around(F.col("ky")))))))
