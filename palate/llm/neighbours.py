@@ -198,7 +198,10 @@ def answers(batches, k: int, beam: int) -> Iterator[pa.RecordBatch]:
 
 def _answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asked: list[int], own: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
     out = {name: [] for name in ("query_id", "vec_id", "score")}
-    found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
+    if len(vectors) <= beam:  # a beam holds the whole shard, also what no edge leads to
+        found = np.tile(np.arange(len(vectors)), (len(own), 1))
+    else:
+        found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
     for query, vector, hits in zip(asked, own, found, strict=True):
         left_out = False  # the query's own row
         hits = hits[hits >= 0]
