@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     bpe,
     exact_dedup,
+    filter_audit,
     language_model,
     licences,
     near_dedup,
@@ -26,10 +27,10 @@ _MODULES = (
     token_files,
     licences,
     packing,
+    filter_audit,
 )
 
 
-
 def queries():
     return {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 
