@@ -11,6 +11,7 @@ from . import (
     near_dedup,
     neighbours,
     packing,
+    phrases,
     quality,
     substring_dedup,
     token_files,
@@ -27,6 +28,7 @@ _MODULES = (
     token_files,
     licences,
     packing,
+    phrases,
     filter_audit,
 )
 
