@@ -11,6 +11,7 @@ from . import (
     near_dedup,
     neighbours,
     packing,
+    personal_data,
     phrases,
     quality,
     substring_dedup,
@@ -30,6 +31,7 @@ _MODULES = (
     packing,
     phrases,
     filter_audit,
+    personal_data,
 )
 
 
