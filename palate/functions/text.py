@@ -16,8 +16,31 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\v\f\r    -     　﻿"
 _SPACE = re.compile(f"[{SPACES}]+")
 LONGEST = 128
-# Letters of other scripts that look like Latin ones.
-LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝαονρτυικ", "aeopcyxijsdhqwaovptuik")
+# Letters of other scripts (by code point) that look like Latin ones.
+LOOKALIKES = {
+    0x0430: "a",
+    0x0435: "e",
+    0x043E: "o",
+    0x0440: "p",
+    0x0441: "c",
+    0x0443: "y",
+    0x0445: "x",
+    0x0456: "i",
+    0x0458: "j",
+    0x0455: "s",
+    0x04BB: "h",
+    0x03BF: "o",
+    0x03B1: "a",
+    0x03B5: "e",
+    0x03B9: "i",
+    0x03BA: "k",
+    0x03BD: "v",
+    0x03C1: "p",
+    0x03C4: "t",
+    0x03C5: "u",
+    0x03C7: "x",
+    0x03F2: "c",
+}
 
 
 def collapse(text: str) -> str:
@@ -173,11 +196,6 @@ def match_term(term: str, candidate: str, loose: bool = True, typos: bool = True
     return None
 
 
-def without_series(title: str) -> str:
-    """A book's title without the last bracket that holds a number in a series."""
-    return re.sub(r"\s*\([^()]*#\d[^()]*\)\s*$", "", title)
-
-
 def initials(name: str) -> str:
     """Up to two first letters, of one script."""
     found = [w[0].upper() for w in collapse(name).split(" ") if w and w[0].isalpha()]

@@ -220,8 +220,10 @@ def classify(candidates: DataFrame, items: DataFrame, links: DataFrame) -> DataF
 
 
 def lookalikes(typed: DataFrame, items: DataFrame) -> DataFrame:
-    """(name, id): names of the catalog that look like a typed name (name) but are not it; each name is folded once."""
+    """(name, id): for each typed name the first id, in byte order, that looks like it. A name is folded first; one that is
+    itself an id, or nothing, looks like none. Each name is folded once."""
     look = text.column(text.skeleton)
-    left = typed.select("name").distinct().withColumn("look", look("name"))
-    right = items.select("id").distinct().withColumn("look", look("id"))
-    return left.join(right, "look").where("name <> id").select("name", "id")
+    left = typed.select("name").distinct().withColumn("folded", text.column(text.fold_id)("name")).where("folded <> ''")
+    left = left.join(items.select(F.col("id").alias("folded")).distinct(), "folded", "left_anti").withColumn("look", look("folded"))
+    right = items.select("id").distinct().withColumn("look", look("id")).groupBy("look").agg(F.min("id").alias("id"))
+    return left.join(right, "look").select("name", "id")

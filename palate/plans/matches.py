@@ -142,7 +142,7 @@ def n13_lookalikes(spark, sf_dir):
     return M.lookalikes(typed, items)
 
 
-N13 = "SELECT translate(id, 'aeo', 'аео') AS name, id FROM {items} WHERE translate(id, 'aeo', 'аео') <> id"
+N13 = "SELECT translate(id, 'aeo', 'аео') AS name, min(id) AS id FROM {items} WHERE translate(id, 'aeo', 'аео') <> id GROUP BY translate(id, 'aeo', 'аео')"
 
 MOVES = """
     SELECT 1 AS step, p_name AS title, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS target FROM {part} WHERE p_partkey % 2 = 0

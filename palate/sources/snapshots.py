@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 JOIN = "\0"
-SCHEMA = "struct<users: array<string>, follows: map<string, array<string>>, ratings: map<string, map<string, string>>>"
+SCHEMA = "struct<users: array<string>, follows: map<string, array<string>>, ratings: map<string, map<string, variant>>>"
 
 
 def ratable(item: Column, tag: Column) -> Column:
@@ -42,7 +42,8 @@ def read_snapshots(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = texts.select("viewer", F.from_json("text", SCHEMA).alias("s"))
     follows = read.select("viewer", F.explode("s.follows").alias("follower_id", "all")).select("viewer", "follower_id", F.explode("all").alias("followed_id"))
     rated = read.select("viewer", F.explode("s.ratings").alias("user_id", "all")).select("viewer", "user_id", F.explode("all").alias("ratable", "value"))
-    number = F.col("value").try_cast("double")
+    # only what is a number in the text: neither "1" nor true
+    number = F.when(~F.schema_of_variant("value").isin("STRING", "BOOLEAN"), F.try_variant_get("value", "$", "double"))
     rated = rated.where(number.isin(1.0, -1.0)).withColumn("parts", F.split("ratable", JOIN, 2))
     rated = rated.select(
         "viewer", "user_id", F.col("parts")[0].alias("item_id"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("tag"), F.size("parts").alias("n"), number.cast("int").alias("value")

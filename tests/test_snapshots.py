@@ -15,6 +15,9 @@ def test_round_trip_and_what_is_dropped(spark):
     edges, back = Z.read_snapshots(texts)
     assert sorted((r.follower_id, r.followed_id) for r in edges.collect()) == [("me", "quiet"), ("me", "x")]
     assert sorted((r.user_id, r.item_id, r.tag, r.value) for r in back.collect()) == sorted(t for t in thumbs if t[0] != "far")
+    kinds = {"one": 1, "less": -1, "one.": 1.0, "two": 2, "half": 1.5, "many": 300, "none": 0, "true": True, "word": "1", "minus": "-1", "yes": "yes", "null": None, "list": [1], "map": {"r": 1}}
+    told = Z.read_snapshots(spark.createDataFrame([("v", json.dumps({"ratings": {"u": kinds}}))], "viewer string, text string"))[1]
+    assert sorted((r.item_id, r.value) for r in told.collect()) == [("less", -1), ("one", 1), ("one.", 1)]
     odd = {"ratings": {"u": {"a": 1.0, "b": 2, "c": "x", "Not Folded": 1, "d\0": 1, "e\0t\0s": 1, "": 1, "f\0t": -1}}}
     found = Z.read_snapshots(spark.createDataFrame([("v", json.dumps(odd)), ("w", "{}"), ("n", "no json")], "viewer string, text string"))[1]
     assert sorted((r.item_id, r.tag, r.value) for r in found.collect()) == [("a", "", 1), ("f", "t", -1)]
