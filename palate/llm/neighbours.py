@@ -4,7 +4,8 @@ Vectors are dealt by hash into shards of about ``SHARD_ROWS`` distinct vectors.
 random edges and is built in two passes over its vectors, many at a time: a greedy search from the middle finds
 each vector's candidates, and robust pruning keeps the nearest, then the next that is not much nearer (by the
 factor ``alpha``) to one already kept, up to ``DEGREE`` edges. Edges go back too; a list that would outgrow
-``ROOM`` is pruned again.
+``ROOM`` is pruned again. Nodes that no path from the entry leads to then get an edge from the nearest that one does, so a
+beam as wide as the shard finds all of it.
 A beam search of width ``BEAM`` then answers each query in every shard, and the shards' finds are merged.
 
 Equal vectors are one node of the graph, with its ``k + 1`` smallest ids (a query can drop its own and still
@@ -65,6 +66,35 @@ class Graph:
         for alpha in (1.0, ALPHA):
             for a in range(0, n, BATCH):
                 self._insert(order[a : a + BATCH], alpha)
+        self._connect()
+
+    def reached(self) -> np.ndarray:
+        """Which nodes the edges lead to from the entry."""
+        seen = np.zeros(len(self.v), bool)
+        front = np.array([self.entry] if len(self.v) else [], np.int64)
+        while len(front):
+            seen[front] = True
+            ends = self.edges[front].ravel()
+            front = np.unique(ends[ends >= 0])
+            front = front[~seen[front]]
+        return seen
+
+    def _connect(self) -> None:
+        """Give every node that no path leads to an edge from its nearest one that a path leads to, in addition to
+        the edges there are. Usually there are none such."""
+        while not (seen := self.reached()).all():
+            lost, known = np.flatnonzero(~seen)[:BATCH], np.flatnonzero(seen)
+            best, heads = np.full(len(lost), np.inf), np.zeros(len(lost), np.int64)
+            for a in range(0, len(known), BATCH):
+                part = known[a : a + BATCH]
+                d = distances(self.v[lost], np.broadcast_to(self.v[part], (len(lost), *self.v[part].shape)))
+                near = d.argmin(axis=1)
+                closer = d[np.arange(len(lost)), near] < best
+                best[closer], heads[closer] = d[np.arange(len(lost)), near][closer], part[near[closer]]
+            heads, at = np.unique(heads, return_index=True)  # one more edge a node each round
+            more = np.full((len(self.v), 1), -1, np.int32)
+            more[heads, 0] = lost[at]
+            self.edges = np.concatenate([self.edges, more], axis=1)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes found for each query, nearest first, and their squared distances; -1
@@ -87,11 +117,10 @@ class Graph:
             done[live, at] = True
             near = self.edges[ids[live, at]].astype(np.int64)
             fresh = (near >= 0) & ~seen[live[:, None], near]
-            near = np.where(fresh, near, 0)
-            # a neighbour listed twice in one row counts once
-            order = np.argsort(np.where(fresh, near, -1), axis=1, kind="stable")
-            near, fresh = np.take_along_axis(near, order, 1), np.take_along_axis(fresh, order, 1)
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            near = np.sort(np.where(fresh, near, -1), axis=1)
+            fresh = near >= 0
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # a neighbour listed twice in one row counts once
+            near = np.maximum(near, 0)
             r, c = np.nonzero(fresh)
             seen[live[r], near[r, c]] = True
             d = np.where(fresh, distances(queries[live], self.v[near]), np.inf).astype(np.float32)
@@ -198,10 +227,7 @@ def answers(batches, k: int, beam: int) -> Iterator[pa.RecordBatch]:
 
 def _answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asked: list[int], own: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
     out = {name: [] for name in ("query_id", "vec_id", "score")}
-    if len(vectors) <= beam:  # a beam holds the whole shard, also what no edge leads to
-        found = np.tile(np.arange(len(vectors)), (len(own), 1))
-    else:
-        found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
+    found = np.concatenate([graph.search(own[b : b + BATCH].astype(np.float32), beam)[0] for b in range(0, len(own), BATCH)])
     for query, vector, hits in zip(asked, own, found, strict=True):
         left_out = False  # the query's own row
         hits = hits[hits >= 0]

@@ -86,16 +86,43 @@ def test_queries_are_answered_batch_by_batch():
     assert seen == 8
 
 
-def test_recall_at_full_shard_size():
-    table = pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
-    v = np.unique(np.array([x for x in table["embedding"] if x is not None], np.float64), axis=0)
-    v = v[np.random.default_rng(3).permutation(len(v))[: N.SHARD_ROWS]]
-    assert len(v) == N.SHARD_ROWS
-    asked = v[:200].astype(np.float32)
-    found, _ = N.Graph(v).search(asked, N.BEAM)
-    hits = [len(set(f[:10]) & set(np.argsort(((v - x) ** 2).sum(1), kind="stable")[:10])) / 10 for f, x in zip(found, v[:200], strict=True)]
+def clustered(n, dim, seed, clusters=400):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(clusters, dim))
+    return middles[rng.integers(0, clusters, n)] + 0.2 * rng.normal(size=(n, dim))
+
+
+def test_recall_over_three_full_shards(spark, tmp_path):
+    n = 3 * N.SHARD_ROWS
+    v = clustered(n, 32, 3)
+    column = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 32).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": column}), tmp_path / "e.parquet")
+    table = spark.read.parquet(str(tmp_path / "e.parquet"))
+    asked = np.arange(0, n, 200)
+    found = N.nearest(table, N.usable(table).where("vec_id % 200 = 0")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for i in asked.tolist():
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits.append(len(got[i] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
     print("recall", np.mean(hits))
-    assert np.mean(hits) >= 0.9
+    assert len(found) == 10 * len(asked) and np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 2, 60, 97, 1500])
+def test_every_node_is_reached(n):
+    for v in (clustered(n, 8, n, clusters=5), np.column_stack([np.arange(n) // 3, np.zeros(n)]), 10.0 ** (np.arange(n) % 9)[:, None] * np.ones((1, 4))):
+        graph = N.Graph(v)
+        assert graph.reached().all()
+    # also where the passes leave nodes behind: cut them off, then connect them again
+    graph.edges[:] = -1
+    graph._connect()
+    assert graph.reached().all()
+    found, _ = graph.search(graph.v[:3], max(n, 2))
+    assert all(set(f[f >= 0].tolist()) == set(range(n)) for f in found)
 
 
 def test_repeated_ids_lose_their_own_row_only(spark):
