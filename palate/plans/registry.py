@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import imports, kernels, matches, relational
+from . import imports, kernels, matches, relational, writes
 
-_MODULES = (relational, imports, matches, kernels)
+_MODULES = (relational, imports, matches, kernels, writes)
 
 
 def queries():

@@ -35,6 +35,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``save`` has given, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/palate/" in path:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_saved(spark: SparkSession) -> None:
     """Delete the tables that this application has saved. Results that are not yet written still read them."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
