@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import imports, kernels, matches, relational, writes
+from . import imports, kernels, matches, people, relational, writes
 
-_MODULES = (relational, imports, matches, kernels, writes)
+_MODULES = (relational, imports, matches, kernels, writes, people)
 
 
 def queries():
