@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import ledger
 from ..operators import matching as M
+from ..sources import store
 from ..sources.derived import run_sql
 
 #: Films looked for: a title and, mostly, a year. Pages have titles of four forms; many titles are shared.
@@ -144,6 +148,26 @@ def n13_lookalikes(spark, sf_dir):
 
 N13 = "SELECT translate(id, 'aeo', 'аео') AS name, min(id) AS id FROM {items} WHERE translate(id, 'aeo', 'аео') <> id GROUP BY translate(id, 'aeo', 'аео')"
 
+N15_ROWS = "SELECT cast(l_orderkey AS bigint) AS row, concat(p_name, ' ', cast(l_quantity AS int)) AS title, concat(lower(p_type), ' ', cast(l_linenumber AS int)) AS label FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+N15_TITLES = "SELECT concat(p_name, ' ', cast(p_size AS int)) AS question, max(concat('Q', cast(p_partkey AS {str}))) AS answer FROM {part} GROUP BY p_name, p_size"
+N15_LABELS = "SELECT concat(lower(p_type), ' ', cast(p_size AS int)) AS question, max(concat('L', cast(p_partkey AS {str}))) AS answer FROM {part} WHERE p_size < 5 GROUP BY lower(p_type), p_size"
+
+
+def n15_matched(spark, sf_dir):
+    """Titles asked of one index, labels of what was missed of another, through a ledger of its own."""
+    index = lambda sql: run_sql(spark, sf_dir, sql).select("question", F.array("answer").alias("answers"))
+    titles, labels = index(N15_TITLES), index(N15_LABELS)
+    book = ledger.Ledger(spark, f"{store.saved_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    rows = run_sql(spark, sf_dir, N15_ROWS).distinct()
+    found = ledger.match_titles(rows, lambda asked: asked.join(titles, "question"), lambda asked: asked.join(labels, "question"), book, wave=10_000)
+    return found.groupBy("row", "stage").agg(F.count("*").alias("n"), F.max(F.col("answers")[0]).alias("answer"))
+
+
+N15 = f"""
+    SELECT r.row, CASE WHEN t.answer IS NULL THEN 'labels' ELSE 'titles' END AS stage, count(*) AS n, max(coalesce(t.answer, l.answer)) AS answer
+    FROM (SELECT DISTINCT * FROM ({N15_ROWS}) x) r LEFT JOIN ({N15_TITLES}) t ON t.question = r.title LEFT JOIN ({N15_LABELS}) l ON l.question = r.label
+    WHERE coalesce(t.answer, l.answer) IS NOT NULL GROUP BY r.row, CASE WHEN t.answer IS NULL THEN 'labels' ELSE 'titles' END"""
+
 MOVES = """
     SELECT 1 AS step, p_name AS title, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS target FROM {part} WHERE p_partkey % 2 = 0
     UNION SELECT 2, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)), concat(p_name, ' (moved)') FROM {part} WHERE p_partkey % 3 = 0
@@ -163,9 +187,10 @@ J20 = f"""
     SELECT a.title, p.ref FROM asked a LEFT JOIN moves s ON s.step = 1 AND s.title = a.title
     LEFT JOIN moves r ON r.step = 2 AND r.title = coalesce(s.target, a.title) JOIN pages p ON p.title = coalesce(r.target, s.target, a.title)"""
 
-QUERIES = {f.__name__: f for f in (w07_nearest_film, n14_books, j16_places, j13_classified, n13_lookalikes, j20_resolved_titles)}
+QUERIES = {f.__name__: f for f in (w07_nearest_film, n14_books, j16_places, j13_classified, n13_lookalikes, j20_resolved_titles, n15_matched)}
 ORACLES = {
     "w07_nearest_film": W07, "n14_books": N14, "j16_places": J16, "j13_classified": J13, "n13_lookalikes": N13, "j20_resolved_titles": J20,
+    "n15_matched": N15,
 }
 
 
