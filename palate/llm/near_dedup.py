@@ -47,7 +47,8 @@ from ._words import U, mix, padded, runs, sequence_hash, words
 RUN, SLOTS, ROWS = 5, 128, 4
 BANDS = SLOTS // ROWS
 PIVOTS = 4
-AT_ONCE = 64
+AT_ONCE, MOST_AT_ONCE = 64, 1024
+SALTS = 16
 RARE = 8
 _STEP = U(0x9E3779B97F4A7C15)
 _EXTRA = float(np.log(SLOTS) + 2)
@@ -144,18 +145,13 @@ def occurrences(row: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[
     return row[many], mix(gram[many] + nth.astype(U) * _STEP).view(np.int64)
 
 
-def text_key():
-    """Which text of a doc_id this is, for repeated doc_ids."""
-    return F.xxhash64("text")
-
-
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, row, fp, n, bands) of every row: fp is null where there are no runs. The row number hangs on
+    """(doc_id, row, fp, n, bands) of every row: fp is null where there are no runs. The row number hangs on
     the partition and the place in it, which a scan of files repeats exactly."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets, 4 << 20):
                 row, gram, weight = multisets(data, offsets[a : b + 1])
                 n = b - a
@@ -165,18 +161,17 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
-                        batch.column(1).slice(a, n),
-                        batch.column(3).slice(a, n),
+                        batch.column(2).slice(a, n),
                         pa.array(fps, pa.binary()),
                         pa.array(np.bincount(row, weights=weight, minlength=n).astype(np.int64)),
                         lists,
                     ],
-                    names=["doc_id", "tkey", "row", "fp", "n", "bands"],
+                    names=["doc_id", "row", "fp", "n", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", text_key().alias("tkey"), "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-        run, "doc_id long, tkey long, row long, fp binary, n long, bands array<long>"
+    return rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        run, "doc_id long, row long, fp binary, n long, bands array<long>"
     )
 
 
@@ -211,7 +206,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, runs, n) for the texts named in ``wanted`` (doc_id, tkey, fp), one text per fp."""
+    """(fp, runs) of the texts whose rows ``wanted`` (row, fp) names, one a fp: row numbers are unique, so no rows that
+    are equal in id and text meet anywhere."""
 
     def run(batches):
         for batch in batches:
@@ -225,18 +221,18 @@ def run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["fp", "runs"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", text_key().alias("tkey"), "text").alias("t")
-    w = wanted.alias("w")
-    found = texts.join(w, F.expr("t.doc_id <=> w.doc_id AND t.tkey = w.tkey")).select("w.fp", "t.text")
-    return found.mapInArrow(run, "fp binary, runs array<long>").dropDuplicates(["fp"])
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return texts.join(wanted, "row").select("fp", "text").mapInArrow(run, "fp binary, runs array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough."""
     left = sets.select(F.col("fp").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("fp").alias("b"), F.col("runs").alias("runs_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    # a pivot stands in very many pairs, each of which gets its runs
+    often = lambda c: hot_keys(pairs.groupBy(c).count(), [c], "count")
+    both = join_back(pairs, left, ["a"], often("a"), ["b"])
+    both = join_back(both, right, ["b"], often("b"), ["a"])
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     either = F.size("runs_a") + F.size("runs_b") - common
     return both.where(common >= F.lit(similarity) * either - 1e-9).select("a", "b")
@@ -258,7 +254,7 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
         "buckets",
     )
     nodes = open_members.select("fp").distinct()
-    wanted = nodes.join(texts.select("fp", "doc_id", "tkey"), "fp")
+    wanted = nodes.join(texts.select("fp", "row"), "fp")
     sets = save(run_sets(docs, wanted), "run-sets")
     near = F.least("n", "pivot_n") >= F.lit(similarity) * F.greatest("n", "pivot_n") - 1e-9
     to_pivot = open_members.where((F.col("fp") != F.col("pivot")) & near)
@@ -288,8 +284,10 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
             return labels
         order = Window.partitionBy("band", "key").orderBy((F.col("f") / F.col("n")).desc(), "fp")
         turn = members if at_once == 1 else members.where("outside")
+        share_of = Window.partitionBy("band", "key", "salt").orderBy((F.col("f") / F.col("n")).desc(), "fp")
+        turn = turn.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).withColumn("rank", F.row_number().over(share_of)).where(F.col("rank") <= at_once)
         turn = turn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_once)
-        at_once = max(AT_ONCE, 2 * at_once)
+        at_once = min(max(AT_ONCE, 2 * at_once), MOST_AT_ONCE)
         pivots = turn.select(
             "band", "key", F.col("fp").alias("pivot"), F.col("n").alias("pivot_n"), F.col("f").alias("pivot_f"),
             F.col("label").alias("pivot_label"), F.col("bands").alias("pivot_bands"),
@@ -297,7 +295,8 @@ def linked(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFra
         most = F.least("f", "pivot_f")
         can = near & (most >= similarity * (F.col("n") + F.col("pivot_n") - most) - 1e-9)
         meet = F.expr("array_position(zip_with(bands, pivot_bands, (x, y) -> x = y), true) = band + 1")
-        to_pivots = members.join(pivots, ["band", "key"]).where((F.col("label") != F.col("pivot_label")) & can & meet)
+        sizes = members.groupBy("band", "key").count()
+        to_pivots = join_back(members, pivots, ["band", "key"], hot_keys(sizes, ["band", "key"], "count"), ["fp"]).where((F.col("label") != F.col("pivot_label")) & can & meet)
         pairs = _ordered(to_pivots.select(F.col("fp").alias("x"), F.col("pivot").alias("y"))).distinct()
         pairs = save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         labels = merged(labels, save(verified(pairs, sets, similarity), "links"))

@@ -107,3 +107,13 @@ def test_odd_rows(spark, rows):
         assert len(together) == 3 and {r.class_id for r in together} == {3}
         assert sum(r.kept for r in together) == 1
         assert all(r.kept and r.class_id == r.doc_id for r in got if r.class_size == 1)
+
+
+def test_many_rows_equal_in_null_id_and_text(spark, tmp_path):
+    near = [(k, "the same ten words over and over again until " + f"w{k} " * 2 + "the end of this long enough text that all of them share " * 3) for k in range(20)]
+    rows = [(None, near[0][1])] * 10_000 + near
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    got = N.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()
+    classes = brute_classes(near)
+    assert len(got) == len(rows) and {r.doc_id: r.class_id for r in got if r.doc_id is not None} == classes
+    assert {r.class_id for r in got if r.doc_id is None} == {classes[0]} and sum(r.kept for r in got) == len(set(classes.values()))
