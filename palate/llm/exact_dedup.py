@@ -12,7 +12,8 @@ that turn out to hold several texts are matched by the text as well.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest ``doc_id`` stays
 (nulls lose against any id); of rows equal in text and ``doc_id`` exactly one stays; an empty table gives an
-empty result; other columns of the input are ignored.
+empty result; other columns of the input are ignored. A very long text is hashed and compared whole, in memory proportional
+to it.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ of a template's bigrams has no matching segment of any kind, and nothing of it i
 Defined results: one row per document and licence found, with the best coefficient of the whole text and the lines,
 the number of matching lines and whether the whole text matches; a licence that neither shows has the best
 coefficient of its passages, no line and no whole text. Null and empty texts and texts without a match have no row;
-repeated rows have rows each; an empty table gives an empty result; other columns of the input are ignored. The SQL
-twin knows whole texts and lines only.
+repeated rows have rows each; an empty table gives an empty result; other columns of the input are ignored. A very long
+text is one row's work, in memory proportional to it. The SQL twin knows whole texts and lines only.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ Results: one row per document with its class (the smallest doc_id linked to it,
 
 Defined results: null and empty texts, and texts of white space only, have no runs and are a class each; texts
 with equal multisets are one class; null doc_ids lose against any other as class_id; of rows with equal doc_id
-in a class exactly one is kept; an empty table gives an empty result; other columns are ignored.
+in a class exactly one is kept; an empty table gives an empty result; other columns are ignored. A very long text is one
+row's work: its runs are counted, and where it has a candidate also compared, whole, in memory proportional to it.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ and lengths of its documents. Parts are ranges of ``doc_id``, numbered in that o
 
 Defined results: null or empty texts are their end id alone; null ``doc_id`` comes first; rows with equal
 ``doc_id`` follow each other in the order of their texts' hashes; an empty table makes no block; other columns
-of the input are ignored.
+of the input are ignored. A document is one block however long it is, encoded in slices, its ids held whole.
 """
 
 from __future__ import annotations
