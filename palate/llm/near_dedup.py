@@ -315,15 +315,17 @@ def _several(members: DataFrame, labels: DataFrame, similarity: float | None = N
     parts = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.min("n").alias("shortest"))
     several = (
         parts.groupBy("band", "key")
-        .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.min("shortest").alias("shortest"))
+        .agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.min("shortest").alias("shortest"), F.sum("c").alias("size"))
         .where("labels > 1")
     )
+    several = save(several, "several")
     if similarity is None:
         enough = F.lit(True)
     else:  # overlap >= similarity / (1 + similarity) of both sizes together
         enough = F.col("f") * (1 + similarity) >= similarity * (F.col("n") + F.col("shortest")) - 1e-9
     outside = (F.col("label") != F.col("most.label")).alias("outside")
-    found = save(told.join(several, ["band", "key"]).where(enough).select(*members.columns, "label", outside), "buckets")
+    told = join_back(told, several, ["band", "key"], hot_keys(several, ["band", "key"], "size"), ["fp"])
+    found = save(told.where(enough).select(*members.columns, "label", outside), "buckets")
     return found, found.isEmpty()
 
 
