@@ -9,7 +9,7 @@ What is learned from. A proposal that overlaps a base span of its kind is a posi
 spans, rewritten in the ways that generators look for, are further positives in their own context; spoilt ones (check
 digit off by one, an octet past 255, a list of years) further negatives. All proposals of all documents count: trees see
 nothing but small integers, so rows that agree in them are one row with a weight, and boosting works on these
-(at most ``MOST_ROWS``, the most frequent). Each level of a tree is one aggregate over that table; the driver gets a row a leaf.
+(all of them; more than ``MOST_ROWS`` are dealt over tasks). Each level of a tree is one aggregate over that table; the driver gets a row a leaf.
 One document in ``HELD_OUT`` teaches nothing and sets the thresholds.
 
 Where spans lie. A text is split at a pattern and its matches are extracted: running sums of the lengths of both are
@@ -247,12 +247,14 @@ def near_base(spans: DataFrame) -> DataFrame:
 
 
 def lessons(spans: DataFrame) -> DataFrame:
-    """(kind, f0, ..., y, held_out, w), saved as one small file: what there is to learn from, equal rows as a weight."""
+    """(kind, f0, ..., y, held_out, w), saved: all that there is to learn from, equal rows as a weight. Few rows are one
+    task's, so that sums run in one order."""
     f = [f"f{k}" for k in range(FEATURES)]
     y = F.when(F.col("source") == _REWRITTEN, 1).when(F.col("source") == _SPOILT, 0).otherwise(F.col("same").cast("int"))
     rows = spans.where(F.col("source") != _BASE).select("kind", *f, y.alias("y"), "held_out")
     every = rows.groupBy("kind", *f, "y", "held_out").agg(F.count("*").cast("double").alias("w"))
-    return save(every.orderBy(F.desc("w"), "kind", *f, "y", "held_out").limit(MOST_ROWS), "personal-lessons").coalesce(1)
+    table = save(every.orderBy(F.desc("w"), "kind", *f, "y", "held_out"), "personal-lessons")
+    return table.coalesce(1) if table.count() <= MOST_ROWS else table
 
 
 class Trees:

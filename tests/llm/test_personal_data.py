@@ -158,3 +158,13 @@ def test_empty(spark, tmp_path):
     assert P.by_document(P.find(docs)).count() == 0
     _, found = told(spark, ["no data at all", None], tmp_path / "d")  # nothing to learn from
     assert [(list(b), list(s)) for b, s in found] == [([], []), ([], [])]
+
+
+def test_every_kind_of_row_teaches_however_many_there_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"mail a{k}@b.org or a{k} at b dot org, call +1 (20{k % 10}) 555-01{k:02d}, host 10.0.0.{k}") for k in range(30)], "doc_id long, text string")
+    spans = P.near_base(P.candidates(docs))
+    whole = {tuple(r) for r in P.lessons(spans).collect()}
+    monkeypatch.setattr(P, "MOST_ROWS", 3)
+    table = P.lessons(spans)
+    assert len(whole) > 3 and {tuple(r) for r in table.collect()} == whole
+    assert P.calibrate(P.boost(table), table).prior
