@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THUMBS_A_TASK = 1 << 16
+LINES_A_TASK = 1 << 18
 SHARES = 8  # of a thing's hearers, so that no thing, however much is said of it, is one task's work
 
 
 def thumbs(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     """(user_id, item_id, tag, value): one purchase says something of the thing and, for a third of the pairs of
     customer and thing, of its four attributes. Sums decide, and zero sums are no thumbs."""
+    parts = tasks(lineitem, LINES_A_TASK)
+    lineitem = lineitem.repartition(parts, "l_orderkey")
     bought = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(part, lineitem.l_partkey == part.p_partkey)
     words = F.split("p_name", " ")
     kind = F.lower("p_type")
@@ -30,7 +33,9 @@ def thumbs(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame
     every = F.concat(
         F.array(own), F.transform(F.coalesce(tagged, F.array().cast("array<struct<tag: string, v: int>>")), lambda t: F.struct(t["tag"], t["v"], F.lit(False).alias("own")))
     )
-    rows = bought.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"), item.alias("item_id"), F.inline(every))
+    rows = bought.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"), item.alias("item_id"), every.alias("every"))
+    # what one account says of one thing meets in one task, before it is written out
+    rows = rows.repartition(parts, "user_id", "item_id").select("user_id", "item_id", F.inline("every"))
     sums = rows.groupBy("user_id", "item_id", "tag", "own").agg(F.sum("v").alias("s")).where("s <> 0")
     return sums.select("user_id", "item_id", "tag", F.when(F.col("s") > 0, 1).otherwise(-1).alias("value"))
 

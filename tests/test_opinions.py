@@ -72,3 +72,11 @@ def test_visible_thumbs_count_once_and_only_counts_travel(spark):
     edges = {(f, g) for f, g in FOLLOWS} | {(t[0], t[0]) for t in THUMBS}
     seen = {(f, *t[:3]) for f, g in edges for t in THUMBS if t[0] == g}
     assert {r.viewer: r.thumbs for r in O.visible(thumbs, follows).collect()} == Counter(s[0] for s in seen)
+
+
+def test_purchases_are_dealt_into_parts_that_follow_their_number(spark, small, monkeypatch):
+    line, orders, part = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("lineitem", "orders", "part"))
+    want = Counter(tuple(r) for r in O.thumbs(line, orders, part).collect())
+    monkeypatch.setattr(O, "LINES_A_TASK", line.count() // 40)
+    found = O.thumbs(line, orders, part)
+    assert found.rdd.getNumPartitions() >= 40 and Counter(tuple(r) for r in found.collect()) == want
