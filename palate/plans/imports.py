@@ -33,9 +33,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_files(rows: DataFrame, path: str, columns: dict[str, Column | str], header: Column | None = None) -> DataFrame:
     """(export, path, text): a CSV file for each export, rows in the order of ``ORDER``."""
     cells = [F.coalesce((F.expr(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns.values()]
-    quoted = [F.when(c.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
-    line = F.struct(*ORDER, F.concat_ws(",", *quoted).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda r: r["line"])
+    quoted = F.transform(F.array(*cells), lambda c: F.when(c.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
+    line = F.struct(*ORDER, F.array_join(quoted, ",").alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"])
     first = F.lit(",".join(columns)) if header is None else header
     text = F.concat(F.lit("﻿"), first, F.lit("\r\n"), F.array_join(lines, "\r\n"))
     return rows.groupBy(*KEY).agg(lines.alias("lines"), text.alias("text")).select("export", F.lit(path).alias("path"), "text")
@@ -158,7 +158,7 @@ S11 = f"""
 def json_files(rows: DataFrame, path: str, entry: str, around: tuple[str, str]) -> DataFrame:
     """(export, path, text): a JSON file for each export, whose entries are the SQL text ``entry``."""
     line = F.struct(*ORDER, F.expr(entry).alias("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["line"]), ",\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"]), ",\n")
     return rows.groupBy(*KEY).agg(F.concat(F.lit(around[0]), body, F.lit(around[1])).alias("text")).select("export", F.lit(path).alias("path"), "text")
 
 
@@ -190,7 +190,7 @@ def s13_spotify(spark, sf_dir):
     rows = base(spark, sf_dir)
     uri = "CASE WHEN q % 9 = 0 THEN '' ELSE concat('spotify:', elt(1 + (d + q % 2) % 5, 'track', 'album', 'artist', 'track', 'artist'), ':', lpad(part, 22, '0')) END"
     one = F.struct(*ORDER, F.expr(f"named_struct('uri', {uri})").alias("e"), "d")
-    every = F.array_sort(F.collect_list(one))
+    every = F.sort_array(F.collect_list(one))
     listed = lambda k: F.transform(F.filter(every, lambda r: r["d"] % 5 == k), lambda r: r["e"])
     lists = [listed(k).alias(name) for k, (name, _, _) in enumerate(X.MUSIC_LISTS)]
     files = rows.groupBy(*KEY).agg(*lists).select("export", F.lit("YourLibrary.json").alias("path"), F.to_json(F.struct(*(n for n, _, _ in X.MUSIC_LISTS))).alias("text"))

@@ -19,7 +19,9 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from ..functions import text
 
 MOST_BYTES = 50_000_000
 WHITE = r"[\s\u000B   -     　﻿]"
+SPACES = text.SPACES.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))  # one by one, not as a range
 #: Names inside a zip that are worth reading (fixed values).
 TRAKT_NAME = r"(?i)(^|/)ratings-(movies|shows|seasons|episodes)(-\d+)?\.json$"
 WANTED = (
@@ -47,6 +50,11 @@ HEADERS = (
     ("storygraph", ("title", "authors", "isbn/uid", "star rating")),
 )
 FILM_LIST = ("date", "name", "year", "letterboxd uri")
+#: Header columns that readers look at.
+READ = (
+    "const", "your rating", "you rated", "title", "title type", "year", "letterboxd uri", "name", "rating", "my rating", "author", "authors", "star rating",
+    "profile name", "title name", "rating type", "thumbs value", "star value", "handle", "attribute", "source", "id",
+)
 #: Lists of a music library: name, what it lists, what being on it says (fixed values).
 MUSIC_LISTS = (("tracks", "track", 1), ("albums", "album", 1), ("artists", "artist", 1), ("bannedTracks", "track", -1), ("bannedArtists", "artist", -1))
 RATING_COLUMNS = "export string, source string, kind string, title string, author string, ref string, year long, lat double, lon double, value int, ord long"
@@ -114,36 +122,50 @@ def files(spark: SparkSession, paths: str) -> DataFrame:
 def csv_rows(text: str) -> list[list[str]]:
     """The rows of a CSV text: quoted cells with doubled quotes and line ends inside, a quote inside a bare cell as it
     stands, line ends of all three kinds, no rows for blank lines, a byte-order mark ignored."""
+    return list(_csv_rows(text))
+
+
+def _csv_rows(text: str) -> Iterator[list[str]]:
     csv.field_size_limit(2**31 - 1)
     found = csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), strict=False)
-    return [row for row in found if row not in ([], [""])]
+    return (row for row in found if row not in ([], [""]))
 
 
 def cells(texts: DataFrame) -> DataFrame:
-    """(export, path, is, line, header, cells) of the CSV texts in ``texts`` (export, path, text and, if known, is);
-    line 0 is the header, lower case and trimmed."""
+    """(export, path, is, line, header, cells, at) of the CSV texts in ``texts`` (export, path, text and, if known, is);
+    line 0 is the header, lower case and trimmed. ``at`` holds the row's trimmed cells below the names of ``READ``."""
 
     def run(batches):
         for batch in batches:
-            for export, path, kind, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rows = csv_rows(text or "")
+            for export, path, kind, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                rows = csv_rows(file or "")
                 header = [h.strip().lower() for h in rows[0]] if rows else []
+                first = {name: k for k, name in reversed(list(enumerate(header)))}
                 for a in range(0, len(rows), 10_000):
                     part = rows[a : a + 10_000]
                     n = len(part)
+                    ends = pa.array([0, *accumulate(map(len, part))], pa.int32())
+                    same = lambda value: pa.array([value], pa.string()).take(pa.array(np.zeros(n, "int64")))
+                    names = pa.array(header, pa.string()).take(pa.array(np.tile(np.arange(len(header)), n)))
+                    below = [
+                        pa.array([row[k].strip(SPACES) if k < len(row) else None for row in part], pa.string()) if (k := first.get(name, -1)) >= 0 else pa.nulls(n, pa.string())
+                        for name in READ
+                    ]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([export] * n, pa.string()),
-                            pa.array([path] * n, pa.string()),
-                            pa.array([kind] * n, pa.string()),
-                            pa.array(range(a, a + n), pa.int64()),
-                            pa.array([header] * n, pa.list_(pa.string())),
-                            pa.array(part, pa.list_(pa.string())),
+                            same(export),
+                            same(path),
+                            same(kind),
+                            pa.array(np.arange(a, a + n)),
+                            pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * len(header)), names),
+                            pa.ListArray.from_arrays(ends, pa.array(chain.from_iterable(part), pa.string())),
+                            pa.StructArray.from_arrays(below, names=list(READ)),
                         ],
-                        names=["export", "path", "is", "line", "header", "cells"],
+                        names=["export", "path", "is", "line", "header", "cells", "at"],
                     )
 
-    kinds = "export string, path string, is string, line long, header array<string>, cells array<string>"
+    at = ", ".join(f"`{name}`: string" for name in READ)
+    kinds = f"export string, path string, is string, line long, header array<string>, cells array<string>, at struct<{at}>"
     known = F.col("is") if "is" in texts.columns else F.lit(None).cast("string").alias("is")
     return texts.select("export", "path", known, "text").mapInArrow(run, kinds)
 
@@ -157,10 +179,11 @@ def squeezed(column: Column) -> Column:
 
 
 def cell(name: str) -> Column:
-    """The row's cell below the header ``name``, trimmed; '' where there is none."""
-    at = F.array_position("header", name)
-    found = F.when(at > 0, F.try_element_at("cells", at.cast("int")))
-    return F.coalesce(trimmed(found), F.lit(""))
+    """The row's cell below the header ``name`` (of ``READ``), trimmed; '' where there is none.
+
+    It is looked up where the file is parsed: looked up here, in every expression that asks, a reader would be code too
+    long to be compiled, and run some ten times slower."""
+    return F.coalesce(F.col("at").getField(name), F.lit(""))
 
 
 def whole_number(text: Column) -> Column:
@@ -200,8 +223,8 @@ def recognised(texts: DataFrame) -> DataFrame:
         for batch in batches:
             headers = []
             for text in batch.column(2).to_pylist():
-                rows = csv_rows((text or "")[: 1 << 16])  # the header is the first row
-                headers.append([h.strip().lower() for h in rows[0]] if rows else [])
+                first = next(_csv_rows((text or "")[: 1 << 16]), [])
+                headers.append([h.strip().lower() for h in first])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(headers, pa.list_(pa.string()))], names=[*batch.schema.names, "header"])
 
     rows = texts.select("export", "path", "text").mapInArrow(run, "export string, path string, text string, header array<string>")

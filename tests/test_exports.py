@@ -157,3 +157,13 @@ def test_export_guards_formulas(spark):
     df = spark.createDataFrame(rows, "user_id string, name string, attribute string, value int, source string, id string, link string")
     text = X.export_files(df, ["user_id"]).first().text
     assert text == '﻿name,attribute,rating,source,id,link\r\n"\'=1+""2""",,yes,,,\r\n"a,b",\'\tt,no,s,i,l\r\n'
+
+
+def test_cells_are_looked_up_and_trimmed_where_a_file_is_parsed(spark):
+    text = "﻿Title, YEAR ,Title,odd\r\n -1 , x\t,second,y\r\nshort\r\n"
+    rows = X.cells(spark.createDataFrame([("e", "p", text)], "export string, path string, text string")).where("line > 0")
+    got = [tuple(r) for r in rows.orderBy("line").select(X.cell("title"), X.cell("year"), X.cell("const"), "cells").collect()]
+    assert got == [("-1", "x", "", [" -1 ", " x\t", "second", "y"]), ("short", "", "", ["short"])]
+    # a reader's conditions do not each search the header again
+    plan = X.read_imdb(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan
