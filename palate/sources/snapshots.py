@@ -26,9 +26,11 @@ def write_snapshots(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     edges = follows.select(F.col("follower_id").alias("viewer"), F.col("followed_id").alias("user_id")).distinct()
     own = edges.select("viewer", F.col("viewer").alias("user_id")).distinct()
     who = edges.unionByName(own).distinct()
-    ratings = who.join(thumbs, "user_id").groupBy("viewer", "user_id").agg(F.map_from_entries(F.collect_list(F.struct(ratable(F.col("item_id"), F.col("tag")), "value"))).alias("rated"))
+    # an account's ratings are put together once, not once for each of its readers
+    rated = F.map_from_entries(F.collect_list(F.struct(ratable(F.col("item_id"), F.col("tag")), "value")))
+    ratings = thumbs.groupBy("user_id").agg(rated.alias("rated"))
     empty = F.expr("cast(map() as map<string, int>)")
-    per_user = who.join(ratings, ["viewer", "user_id"], "left").withColumn("rated", F.coalesce("rated", empty))
+    per_user = who.join(ratings, "user_id", "left").withColumn("rated", F.coalesce("rated", empty))
     followed = F.array_sort(F.collect_list(F.when(F.col("user_id") != F.col("viewer"), F.col("user_id"))))
     whole = per_user.groupBy("viewer").agg(
         F.array_sort(F.collect_list("user_id")).alias("users"), followed.alias("followed"), F.map_from_entries(F.collect_list(F.struct("user_id", "rated"))).alias("ratings")

@@ -29,3 +29,12 @@ def test_results(spark):
     told = json.loads(Z.write_results(fitted).first().text)
     assert told["viewer"] == "me" and set(told["scores"]) == {"a", "b", "b\0cozy"} and set(told["scores"]["a"]) == {"score", "confidence", "applies"}
     assert set(told["plot"]["things"]) == {"a", "b"} and set(told["plot"]["attributes"]) == {"", "cozy"} and len(told["plot"]["things"]["a"]) == 3
+
+
+def test_ratings_are_put_together_before_they_go_to_readers(spark):
+    thumbs = spark.createDataFrame([("x", "a", "", 1)], "user_id string, item_id string, tag string, value int")
+    follows = spark.createDataFrame([("me", "x")], "follower_id string, followed_id string")
+    plan = Z.write_snapshots(thumbs, follows)._jdf.queryExecution().optimizedPlan().toString()
+    # the grouping of ratings lies below the join with their readers
+    by_reader = [x for x in plan.splitlines() if "Aggregate [viewer" in x and "user_id" in x.split("]")[0]]
+    assert "Aggregate [user_id" in plan and not [x for x in by_reader if "map_from_entries" in x]
