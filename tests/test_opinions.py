@@ -40,6 +40,43 @@ def test_what_is_heard_is_never_shuffled_by_viewer(spark, monkeypatch):
     assert "hashpartitioning(item_id" in plan and "hashpartitioning(viewer" not in plan
 
 
+def test_viewers_who_follow_alike_share_what_they_hear(spark, monkeypatch):
+    edges = [(f"v{v:03d}", f"v{(v + k) % 200:03d}") for v in range(200) for k in range(1, 21)]
+    follows = spark.createDataFrame(edges, "follower_id string, followed_id string")
+    thumbs = spark.createDataFrame([(f"v{v:03d}", f"t{v % 7}", "", 1) for v in range(200)], "user_id string, item_id string, tag string, value int")
+    dealt = O.shares(follows)
+    assert dealt.count() == 200 and dealt.select("share").distinct().count() < 40
+    # a statement has twenty hearers and travels for a few shares
+    assert O._packed(thumbs, follows, None, 4).count() < 200 * 5
+    monkeypatch.setattr(O, "VIEWERS_A_SHARE", 2)
+    assert O.shares(follows).groupBy("share").count().agg({"count": "max"}).first()[0] <= 8
+
+
+def test_shares_dealt_by_viewer_or_thing_or_over_pieces_say_the_same(spark, monkeypatch):
+    thumbs, follows = frames(spark)
+    cells = lambda near: Counter((r.viewer, r.item_id, r.tag, r.n, r.s, r.m, r.heard, r.up, r.down) for r in O.opinions(thumbs, follows, thumbs, near).collect())
+    want, shared = cells(False), [tuple(r) for r in O.agreement(thumbs, follows).collect()]
+    assert cells(True) == want and shared == [("v", "a", 2, 0.5)]
+    sizes = lambda: {tuple(r) for r in O.squared_size(thumbs, follows).collect()} | {tuple(r) for r in O.departures(thumbs, follows).collect()}
+    whole = sizes()
+    monkeypatch.setattr(O, "STATEMENTS_A_PIECE", 1)
+    assert O.opinions(thumbs, follows, thumbs, near=True).agg({"pieces": "max"}).first()[0] > 1
+    assert cells(True) == want and sizes() == whole and [tuple(r) for r in O.agreement(thumbs, follows).collect()] == shared
+
+
+def test_what_a_viewer_hears_meets_without_a_shuffle_of_it(spark, monkeypatch):
+    from palate.plans.relational import _strength_places
+
+    thumbs, follows = frames(spark)
+    places = lambda: Counter(tuple(r) for r in _strength_places(thumbs, follows).collect())
+    whole = places()
+    monkeypatch.setattr(O, "tasks", lambda rows: 4)
+    plan = _strength_places(thumbs, follows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(tag") == 1 and "hashpartitioning(share" in plan  # the one is for shares of several pieces
+    monkeypatch.setattr(O, "STATEMENTS_A_PIECE", 1)
+    assert places() == whole
+
+
 def test_own_statements_beside_what_is_heard(spark):
     thumbs, follows = frames(spark)
     got = O.opinions(thumbs, follows, thumbs).collect()
