@@ -15,6 +15,7 @@ from ..operators import opinions
 from ..sources.derived import as_ctes, run_sql, table
 
 SQL: dict[str, str] = {}
+WORD_SHARES = 16  # of the accounts that a word may find
 
 # -- what the followed accounts say -------------------------------------------------------------------------
 SQL["a01_laplace_mean"] = "SELECT viewer, item_id, tag, n, s, round(m, 9) AS m FROM {said}"
@@ -554,6 +555,20 @@ def _with_items(run):
     return lambda spark, sf_dir: run(*(table(spark, sf_dir, n) for n in ("thumbs", "follows", "items")))
 
 
+def _account_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts that no word equals stay where they are; a word that finds very many accounts is dealt over shares of them."""
+    profiles = table(spark, sf_dir, "profiles")
+    words = profiles.select(F.lower(F.substring("display_name", 1, 8)).alias("word")).distinct().unionByName(spark.range(1).select(F.lit("h1").alias("word"))).distinct()
+    lengths = words.select(F.length("word").alias("step")).distinct()
+    steps = table(spark, sf_dir, "steps").select("step").distinct().join(lengths, "step", "left_semi")
+    texts = profiles.select("id", F.explode(F.array(F.lower("display_name"), "handle")).alias("text")).where("text IS NOT NULL")
+    starts = texts.join(F.broadcast(steps), F.col("step") <= F.length("text")).select("id", F.expr("substr(text, 1, step)").alias("start"))
+    share = F.pmod(F.xxhash64("id"), F.lit(WORD_SHARES)).alias("share")
+    dealt = words.select("word", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WORD_SHARES - 1).cast("long"))).alias("share"))
+    starts = starts.select("id", "start", share)
+    return starts.join(dealt, (starts.start == dealt.word) & (starts.share == dealt.share)).select("word", "id").distinct()
+
+
 def _stamp_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     signature = F.array_join(F.array_sort(F.collect_list("stamp")), " ")  # one stamp for each account followed
     return run_sql(spark, sf_dir, STAMPS).groupBy("viewer").agg(signature.alias("signature"))
@@ -567,6 +582,7 @@ BUILT = {
     "a16_fold_scores": _on_thumbs(_fold_scores),
     "f15_scores": _on_thumbs(_scores),
     "f13_goodness": _on_thumbs(_goodness),
+    "n11_account_search": _account_search,
     "j02_departures": _on_thumbs(opinions.departures),
     "j19_agreement": _on_thumbs(opinions.agreement),
     "j11_candidate_rows": _with_items(_candidate_rows),

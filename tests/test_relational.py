@@ -21,3 +21,8 @@ def test_every_surveyed_id_has_a_query_or_is_named():
     named = {f"{a.upper()}-{b}" for n in registry.queries() for a, b in re.findall(r"([a-z])(\d\d)(?=_)", n)}
     missing = (root / "README.md").read_text().split("## Not built yet")[1]
     assert surveyed and not [i for i in surveyed if i not in named and i not in missing]
+
+
+def test_a_word_that_finds_every_account_is_dealt_over_shares(spark, small):
+    plan = registry.queries()["n11_account_search"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "[start" in plan and "share" in plan.split("Join [start", 1)[1].splitlines()[0]
