@@ -146,11 +146,11 @@ def import_thumbs(things: DataFrame, known: Store, now: str, limit: int = LIMIT,
     return Imported(names, links, thumbs, imports, told)
 
 
-def resolved(rows: DataFrame, classified: DataFrame, thumbs: DataFrame) -> DataFrame:
-    """(user_id, ord, item_id, source, ref, value, known): what of the matched rows (user_id, ord, source, ref, value) of an
-    export there is to import. ``classified`` (user_id, ord, item_id, kind) says what each row's find stands for; what the
-    account has rated stays as it is, and of rows for one thing the first counts."""
-    told = rows.join(classified, ["user_id", "ord"]).join(thumbs.where("tag = ''").select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+def resolved(told: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """(user_id, ord, item_id, source, ref, value, known): what of the matched rows of an export there is to import. ``told``
+    (user_id, ord, source, ref, value, item_id, kind) says what each row's find stands for; what the account has rated stays
+    as it is, and of rows for one thing the first counts."""
+    told = told.join(thumbs.where("tag = ''").select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("ord"))
     told = told.withColumn("k", first).where("k = 1")
     return told.select("user_id", "ord", "item_id", "source", "ref", "value", (F.col("kind") != "free").alias("known"))

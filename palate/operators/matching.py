@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import store
 from ..sources.exports import WHITE, squeezed, trimmed
 
 YEAR_SLACK, REACH_METRES, CELL = 1, 200.0, 0.0025
@@ -202,21 +203,26 @@ def pick_places(rows: DataFrame, places: DataFrame, reach: float = REACH_METRES)
 
 
 # -- the catalog -----------------------------------------------------------------------------------------------
-def classify(candidates: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
+def classify(candidates: DataFrame, items: DataFrame, links: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
     """(search, pos, item_id, kind) of candidates (search, pos, source, ref, names) against names (id) and links
     (item_id, source, ref): the name that holds the link ('existing'), else the first name not yet there ('free') or
-    there without a link ('plain'), else nothing. Of a search's candidates for one name the first stays."""
-    held = links.select("source", "ref", F.col("item_id").alias("held"))
-    rows = candidates.join(held, ["source", "ref"], "left")
-    names = rows.where("held is null").select("search", "pos", F.posexplode("names").alias("k", "name"))
-    known = items.select(F.col("id").alias("name"), F.lit(True).alias("there"))
+    there without a link ('plain'), else nothing. Of a search's candidates for one name the first stays, with its
+    columns ``beside``.
+
+    What names are is worked out once for each list of names, and written: a catalog is often small beside the candidates,
+    which then stay where they are."""
+    held = store.save(links.select("source", "ref", F.col("item_id").alias("held")), "classify-held")
+    lists = candidates.select("names").distinct().select("names", F.posexplode("names").alias("k", "name"))
+    known = items.select(F.col("id").alias("name"), F.lit(True).alias("there")).distinct()
     linked = links.select(F.col("item_id").alias("name"), F.lit(True).alias("linked")).distinct()
-    names = names.join(known, "name", "left").join(linked, "name", "left")
     kind = F.when(F.col("there").isNull(), "free").when(F.col("linked").isNull(), "plain")
-    first = names.withColumn("kind", kind).where("kind is not null").groupBy("search", "pos").agg(F.min(F.struct("k", "name", "kind")).alias("f"))
-    found = first.select("search", "pos", F.col("f.name").alias("item_id"), "f.kind")
-    found = found.unionByName(rows.where("held is not null").select("search", "pos", F.col("held").alias("item_id"), F.lit("existing").alias("kind")))
-    return found.groupBy("search", "item_id").agg(F.min(F.struct("pos", "kind")).alias("f")).select("search", "f.pos", "item_id", "f.kind")
+    lists = lists.join(known, "name", "left").join(linked, "name", "left").withColumn("kind", kind).where("kind is not null")
+    first = store.save(lists.groupBy("names").agg(F.min(F.struct("k", "name", "kind")).alias("f")), "classify-names")
+    rows = candidates.join(held, ["source", "ref"], "left").join(first, "names", "left").where("held is not null or f is not null")
+    item, kind = F.coalesce("held", "f.name"), F.when(F.col("held").isNotNull(), "existing").otherwise(F.col("f.kind"))
+    found = rows.select("search", "pos", item.alias("item_id"), kind.alias("kind"), *beside)
+    found = found.groupBy("search", "item_id").agg(F.min(F.struct("pos", "kind", *beside)).alias("f"))
+    return found.select("search", "f.pos", "item_id", "f.kind", *(F.col(f"f.{c}") for c in beside))
 
 
 def lookalikes(typed: DataFrame, items: DataFrame) -> DataFrame:

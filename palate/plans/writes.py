@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imports as I
 from ..operators import matching as M
+from ..sources import store
 from ..sources.derived import run_sql
 from .relational import UNLOCKED, ansi
 
@@ -67,9 +68,11 @@ def d05_import_state(spark, sf_dir):
 def d14_resolved(spark, sf_dir):
     """What of each customer's film export there is to import, by what the catalog and their own thumbs hold."""
     rows = run_sql(spark, sf_dir, f"SELECT user_id, ord, id, source, ref, cast(value AS int) AS value FROM ({THINGS}) t WHERE service = 'imdb' AND value <> 'true'")
-    candidates = rows.select(F.col("user_id").alias("search"), F.col("ord").alias("pos"), "source", "ref", F.array("id").alias("names"))
-    found = M.classify(candidates, run_sql(spark, sf_dir, "SELECT id FROM {items}"), run_sql(spark, sf_dir, HELD))
-    return I.resolved(rows, found.withColumnsRenamed({"search": "user_id", "pos": "ord"}), run_sql(spark, sf_dir, "SELECT user_id, item_id, tag FROM {thumbs}"))
+    row = F.struct("source", "ref", "value").alias("row")
+    candidates = rows.select(F.col("user_id").alias("search"), F.col("ord").alias("pos"), "source", "ref", F.array("id").alias("names"), row)
+    found = M.classify(store.save(candidates, "candidates"), run_sql(spark, sf_dir, "SELECT id FROM {items}"), run_sql(spark, sf_dir, HELD), ("row",))
+    told = found.select(F.col("search").alias("user_id"), F.col("pos").alias("ord"), "row.*", "item_id", "kind")
+    return I.resolved(told, run_sql(spark, sf_dir, "SELECT user_id, item_id, tag FROM {thumbs}"))
 
 
 # The check deals with the pairs one by one, in their order, as a recursion that carries what is taken.

@@ -101,3 +101,14 @@ def test_catalog(spark):
     moves = spark.createDataFrame([(1, "a b", "A b"), (2, "A b", "Ab"), (2, "c", "Ab")], "step int, title string, target string")
     asked, pages = spark.createDataFrame([("a b",), ("c",), ("d",)], "title string"), spark.createDataFrame([("Ab", 1), ("d", 2)], "title string, ref int")
     assert {r.title: r.ref for r in M.resolved(asked, moves, pages).collect()} == {"a b": 1, "c": 1, "d": 2}
+
+
+def test_what_stands_beside_candidates_comes_along(spark):
+    candidates = spark.createDataFrame(
+        [("s", 1, "w", "q1", ["a"], 5), ("s", 2, "w", "q2", ["b", "c"], 6), ("s", 3, "w", "q3", ["c"], 7), ("s", 4, "w", "q4", [], 8)],
+        "search string, pos int, source string, ref string, names array<string>, stars int",
+    )
+    items, links = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("z", "w", "q1"), ("b", "w", "q9")], "item_id string, source string, ref string")
+    found = M.classify(candidates, items, links, ("stars",))
+    assert {tuple(r) for r in found.collect()} == {("s", 1, "z", "existing", 5), ("s", 2, "c", "plain", 6)}
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()  # names are looked at before, once each
