@@ -93,12 +93,16 @@ def _standing(calls: DataFrame, known: Store, now: str, limit: int, chunk: int)
     return told.select("call", "user_id", "service", "asked", status.alias("status"), "started_at", "used")
 
 
-def _valid(things: DataFrame, known: Store) -> DataFrame:
-    """The things that a single write would be allowed, the first of each call's for a link."""
+def _valid(things: DataFrame, known: Store, open_: DataFrame) -> DataFrame:
+    """The things of calls in ``open_`` that a single write would be allowed, the first of each call's for a link.
+
+    Names are looked at once each, and those allowed are written: few, mostly, beside the things, which then stay where
+    they are. What is left of the things is dealt by call, once, for all that follows within calls."""
     fine = things.join(F.broadcast(known.patterns.select("source", "pattern")), "source")
     fine = fine.where(F.expr("rlike(ref, pattern) AND value IN ('1', '-1') AND char_length(search_id) <= 128")).drop("pattern")
     names = fine.select("id").distinct().where(text.column(lambda n: "y" if text.is_normalized(n) else None)("id").isNotNull())
-    fine = fine.join(names, "id").join(known.removed.select("id"), "id", "left_anti").join(known.removed_refs.select(*LINK), LINK, "left_anti")
+    names = store.save(names.join(known.removed.select("id"), "id", "left_anti"), "import-names")
+    fine = fine.join(names, "id").join(known.removed_refs.select(*LINK), LINK, "left_anti").join(open_, "call")
     order = Window.partitionBy("call", *LINK).orderBy("ord")
     return fine.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
@@ -107,23 +111,23 @@ def import_thumbs(things: DataFrame, known: Store, now: str, limit: int = LIMIT,
     """Write the calls in ``things`` (call, user_id, service, ord, id, search_id, source, ref, value as text; calls are
     numbered in their order, one for each user and service) at the time ``now``. A call with no thing but a null ``ord`` asks for
     nothing."""
-    things = store.save(things, "import-things")
+    things, stored = store.save(things, "import-things"), store.save(known.links.select("item_id", *LINK), "import-held")
     calls = things.groupBy("call", "user_id", "service").agg(F.count("ord").alias("asked"))
     standing = store.save(_standing(calls, known, now, limit, chunk), "import-calls")
     open_ = standing.where("status = 'done'").select("call", "used")
-    valid = _valid(things.where("ord IS NOT NULL").join(open_, "call"), known)
+    valid = _valid(things.where("ord IS NOT NULL"), known, open_)
     place = F.row_number().over(Window.partitionBy("call").orderBy("ord"))  # a call has at most ``chunk`` things
     valid = store.save(valid.withColumn("over", place > limit - F.col("used")), "import-valid")
     taken = valid.where("NOT over").select("call", "user_id", "ord", "id", "search_id", *LINK, "value")
 
     # names and links: who gets what is free
-    free = taken.join(known.links.select(*LINK), LINK, "left_anti").join(known.links.select(F.col("item_id").alias("id")), "id", "left_anti")
+    free = taken.join(stored.select(*LINK), LINK, "left_anti").join(stored.select(F.col("item_id").alias("id")), "id", "left_anti")
     first = F.min(F.struct("call", "ord", "user_id", "search_id")).alias("at")  # a pair asked for often is decided where it comes first
     made = store.save(matched(free.groupBy("id", *LINK).agg(first)), "import-links")
     names = made.join(known.items.select("id"), "id", "left_anti").select("id", "at.search_id", F.col("at.user_id").alias("created_by"))
 
     # thumbs: on what holds the link when the call is over
-    holders = known.links.select(*LINK, "item_id", F.lit(None).cast(things.schema["call"].dataType).alias("since"))
+    holders = stored.select(*LINK, "item_id", F.lit(None).cast(things.schema["call"].dataType).alias("since"))
     holders = holders.unionByName(made.select(*LINK, F.col("id").alias("item_id"), F.col("at.call").alias("since")))
     found = taken.join(holders, LINK).where("since IS NULL OR since <= call")
     own = known.thumbs.where("tag = ''").select("user_id", "item_id", F.lit(True).alias("had"))

@@ -113,3 +113,12 @@ def test_against_one_call_after_the_other(spark, seed):
 
 def test_nothing_at_all(spark):
     assert run(spark, [], nothing()) == ({}, {}, {}, {})
+
+
+def test_things_are_dealt_by_call_once_and_not_by_name(spark):
+    things = spark.createDataFrame([(1, "u", "s", 1, "a", "a", "x", "1", "1")], "call long, user_id string, service string, ord long, id string, search_id string, source string, ref string, value string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    known = I.Store(*[None] * 4, removed=empty("id string"), removed_refs=empty("source string, ref string"), patterns=spark.createDataFrame([("x", "^1$")], "source string, pattern string"), services=None, unlocked=None)
+    found = I._valid(things, known, spark.createDataFrame([(1, 0)], "call long, used long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and [r.id for r in found.collect()] == ["a"]
