@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ..sources.exports import WHITE, squeezed, trimmed
 
 YEAR_SLACK, REACH_METRES, CELL = 1, 200.0, 0.0025
 EARTH = 6_371_000.0
+CROWD, FINEST = 4, 8  # places of the same words in a cell before rows ask finer ones, each a quarter as high; how many at most
 #: Words that titles write small between others (fixed values).
 SHORT_WORDS = "A An And As At But By For From In Nor Of On Or Than The To Vs Vs. With".split()
 
@@ -174,32 +176,67 @@ def metres(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH * F.asin(F.sqrt(half))
 
 
-def pick_places(rows: DataFrame, places: DataFrame, reach: float = REACH_METRES) -> DataFrame:
-    """(row, ref) of places (row, name, lat, lon) among ``places`` (ref, name, lat, lon) within ``reach``: the nearest of
-    those with the same set of words, or else the only one whose words begin the row's.
-
-    Both meet in cells of latitude ``CELL`` high (more than ``reach``) and, so that cells stay wide enough towards the
-    poles, as many times wider as parallels are shorter there. Longitudes close round at 180 degrees."""
-    height = max(CELL, reach / 111_000 * 1.01)
+def _cells(height: float):
+    """The row and column of the cells ``height`` degrees high; cells are at least as wide. By the parallel nearest to a pole
+    in it or its neighbours, cells of one row are equally wide; within about 60 km of a pole a row is one cell."""
     row_of = lambda lat: F.floor(lat / height).cast("long")
-    # cells of one row are equally wide: by the parallel nearest to a pole in it or its neighbours; within about 60 km of
-    # a pole a row is one cell
     short = lambda k: F.cos(F.radians(F.least(F.greatest(F.abs(k), F.abs(k + 1)) * height + height, F.lit(90.0))))
     around = lambda k: F.when(short(k) < 0.01, 1).otherwise(F.floor(360.0 / height * short(k))).cast("long")
     column = lambda lon, k: F.least(F.floor((lon + 180) / 360 * around(k)).cast("long"), around(k) - 1)
-    here = rows.select("row", F.col("name").alias("wanted"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.sequence(row_of(F.col("lat")) - 1, row_of(F.col("lat")) + 1)).alias("ky"))
+    return row_of, around, column
+
+
+def _within(rows: DataFrame, places: DataFrame, height: float, reach: float) -> DataFrame:
+    """``rows`` (row, kind, words, lat1, lon1) with each of ``places`` (kind, words, lat, lon, ...) of the same kind and words
+    that lies in the nine cells around and within ``reach``, and how far ``apart``."""
+    row_of, around, column = _cells(height)
+    here = rows.withColumn("ky", F.explode(F.sequence(row_of(F.col("lat1")) - 1, row_of(F.col("lat1")) + 1)))
     here = here.withColumn("kx", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("lon1"), F.col("ky")) + d, around(F.col("ky")))))))
     there = places.withColumn("ky", row_of(F.col("lat"))).withColumn("kx", column(F.col("lon"), F.col("ky")))
-    near = here.join(there, ["kx", "ky"]).withColumn("apart", metres(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where(F.col("apart") <= reach)
-    mine, theirs = _words(F.col("wanted")), _words(F.col("name"))
-    same = (F.size(mine) > 0) & (F.size(theirs) > 0) & (F.size(F.array_except(mine, theirs)) == 0) & (F.size(F.array_except(theirs, mine)) == 0)
-    spoken, name = _spoken(F.col("wanted")), _spoken(F.col("name"))
-    leads = (F.size(name) > 0) & (F.size(name) < F.size(spoken)) & (F.slice(spoken, 1, F.greatest(F.size(name), F.lit(1))) == name)
-    told = near.select("row", "ref", "apart", same.alias("same"), leads.alias("leads")).groupBy("row").agg(
-        F.min(F.when(F.col("same"), F.struct("apart", "ref"))).alias("nearest"), F.count(F.when(F.col("leads"), 1)).alias("n"), F.min(F.when(F.col("leads"), F.col("ref"))).alias("only")
+    near = here.join(there, ["kx", "ky", "kind", "words"]).withColumn("apart", metres(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
+    return near.where(F.col("apart") <= reach)
+
+
+def pick_places(rows: DataFrame, places: DataFrame, reach: float = REACH_METRES) -> DataFrame:
+    """(row, ref) of places (row, name, lat, lon) among ``places`` (ref, name, lat, lon) within ``reach``: the nearest of
+    those with the same set of words, or else the only one whose words begin the row's.
+
+    Both meet by words in cells, so high that the nine around a row hold all within ``reach``. Where places stand dense, rows
+    ask a finer grid first: one that finds its own words nearer than a cell is high, or two places that begin it, is answered
+    and not asked again, so that no row meets many more places than there are in a cell. Longitudes close round at
+    180 degrees."""
+    height = max(CELL, reach / 111_000 * 1.01)
+    same, leads = F.lit("same"), F.lit("leads")
+    whole = lambda name: F.array_sort(_words(F.col(name)))
+    # places of the same words on one spot are one: the first, and how many
+    there = places.select("ref", "lat", "lon", F.explode(F.array(F.struct(same.alias("kind"), whole("name").alias("words")), F.struct(leads.alias("kind"), _spoken(F.col("name")).alias("words")))).alias("w"))
+    there = there.select("ref", "lat", "lon", "w.*").where("size(words) > 0").groupBy("kind", "words", "lat", "lon").agg(F.min("ref").alias("ref"), F.count("*").alias("n"))
+    there = store.save(there, "places")
+    spoken = _spoken(F.col("name"))
+    begun = F.transform(F.sequence(F.lit(1), F.greatest(F.size(spoken) - 1, F.lit(1))), lambda k: F.struct(leads.alias("kind"), F.slice(spoken, 1, k).alias("words")))
+    asked = F.concat(F.array(F.struct(same.alias("kind"), whole("name").alias("words"))), F.when(F.size(spoken) > 1, begun).otherwise(F.slice(begun, 1, 0)))
+    left = rows.select("row", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(asked).alias("w")).select("row", "lat1", "lon1", "w.*").where("size(words) > 0")
+    row_of, _, column = _cells(height)
+    ky = row_of(F.col("lat"))
+    most = there.groupBy("kind", "words", ky.alias("ky"), column(F.col("lon"), ky).alias("kx")).count().agg(F.max("count")).first()[0] or 0
+    finer = 0
+    while finer < FINEST and most > CROWD * 16**finer:
+        finer += 1
+    answers = []
+    for k in range(finer, -1, -1):
+        near = _within(left, there, height / 4**k, reach)
+        told = near.groupBy("row", "kind").agg(F.min(F.struct("apart", "ref")).alias("nearest"), F.sum("n").alias("n"), F.min("ref").alias("only"))
+        if k:
+            # a cell is a little higher than what its neighbours hold for certain
+            done = F.when(F.col("kind") == "same", F.col("nearest.apart") <= height / 4**k * 111_000 / 1.01).otherwise(F.col("n") > 1)
+            told = store.save(told.where(done), f"places-{k}")
+            over = told.select(F.col("row").alias("r"), F.col("kind").alias("k"))
+            left = store.save(left.join(over, F.col("row").eqNullSafe(F.col("r")) & (F.col("kind") == F.col("k")), "left_anti"), f"places-left-{k}")
+        answers.append(told.select("row", "kind", "nearest", "n", "only"))
+    told = reduce(DataFrame.unionByName, answers).groupBy("row").agg(
+        F.max(F.when(F.col("kind") == "same", F.col("nearest.ref"))).alias("nearest"), F.max(F.when((F.col("kind") == "leads") & (F.col("n") == 1), F.col("only"))).alias("only")
     )
-    ref = F.coalesce("nearest.ref", F.when(F.col("n") == 1, F.col("only")))
-    return told.select("row", ref.alias("ref")).where("ref is not null")
+    return told.select("row", F.coalesce("nearest", "only").alias("ref")).where("ref is not null")
 
 
 # -- the catalog -----------------------------------------------------------------------------------------------

@@ -91,6 +91,25 @@ def test_places_equal_brute_force(spark, centre):
     assert {r.row: r.ref for r in got.collect()} == want and want
 
 
+def test_dense_places_answer_from_finer_cells_and_no_row_meets_them_all(spark, monkeypatch):
+    rng = random.Random(5)
+    at = lambda: (60 + rng.uniform(-0.001, 0.001), 179.9995 + rng.uniform(-0.001, 0.001))
+    spot = lambda lat, lon: (lat, (lon + 180) % 360 - 180)
+    names = ["The Red Inn", "Red Inn", "Red", "Blue Inn", "Red Inn Bar"]
+    places = [(k, rng.choice(names), *spot(*at())) for k in range(800)] + [(k, "Green", 60.0, 179.9995) for k in (901, 900)] + [(902, "Old", 60.0, 179.9995)]
+    rows = [(k, rng.choice(names), *spot(*at())) for k in range(400)] + [(500, "Green Inn", 60.0, 179.9995), (501, "Old Inn", 60.0, 179.9995), (502, "Red Inn", 60.002, 179.9995), (None, "Red", 60.0, 179.9995)]
+    schema = "string, lat double, lon double"
+    frames = spark.createDataFrame(rows, f"row int, name {schema}"), spark.createDataFrame(places, f"ref int, name {schema}")
+    met, within = [], M._within
+    monkeypatch.setattr(M, "_within", lambda *a: met.append(x := within(*a)) or x)
+    monkeypatch.setattr(M, "FINEST", 0)
+    want = {r.row: r.ref for r in M.pick_places(*frames).collect()}
+    once = met.pop().count()
+    monkeypatch.setattr(M, "FINEST", 8)
+    assert {r.row: r.ref for r in M.pick_places(*frames).collect()} == want and {501, 502, None} < set(want) and 500 not in want
+    assert len(met) > 2 and sum(x.count() for x in met) < once / 4
+
+
 def test_catalog(spark):
     candidates = [(1, 1, "w", "q1", ["a"]), (1, 2, "w", "q2", ["b", "c"]), (1, 3, "w", "q3", ["d"]), (1, 4, "w", "q4", ["b"]), (1, 5, "w", "q5", ["d"]), (2, 1, "w", "q5", [])]
     found = M.classify(
