@@ -117,3 +117,20 @@ def test_purchases_are_dealt_into_parts_that_follow_their_number(spark, small, m
     monkeypatch.setattr(O, "LINES_A_TASK", line.count() // 40)
     found = O.thumbs(line, orders, part)
     assert found.rdd.getNumPartitions() >= 40 and Counter(tuple(r) for r in found.collect()) == want
+
+
+def test_named_statements_are_counted_where_they_lie(spark):
+    thumbs, follows = frames(spark)
+    plan = O.visible(thumbs, follows)._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("\n") if "hashpartitioning(user_id" in x and "item_id" in x]
+    assert sent and plan.count("hashpartitioning(user_id") > len(sent) and "NOT (coalesce(tag" in plan
+
+
+def test_what_an_account_says_travels_in_few_rows_to_those_who_hear_it(spark, monkeypatch):
+    thumbs = spark.createDataFrame([(f"v{v}", f"t{t}", tag, 1) for v in range(3) for t in range(40) for tag in ("", "red", None)], "user_id string, item_id string, tag string, value int")
+    packed = thumbs.groupBy("user_id", "item_id").agg(O.F.array_agg(O.F.struct("tag", "value")).alias("says"))
+    rows = lambda: Counter((r.user_id, t["item_id"], g, v) for r in O._told(packed).collect() for t in r.told for g, v in zip(t["tags"], t["values"], strict=True))
+    want = Counter(tuple(r) for r in thumbs.collect())
+    assert O._told(packed).count() == 3 and rows() == want
+    monkeypatch.setattr(O, "THINGS_A_ROW", 8)
+    assert O._told(packed).count() > 6 and rows() == want
