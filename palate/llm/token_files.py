@@ -52,14 +52,18 @@ def _choices(ids: np.ndarray) -> np.ndarray:
     """The selector a word would have if it started at each position."""
     n, bits = len(ids), _bits(ids)
     chosen = np.full(n, ESCAPE, np.uint8)
+    widest, length = bits, 1  # the most bits of any ``length`` ids from each position on
     for selector in range(14, -1, -1):  # the one with most ids is set last
         count = COUNTS[selector]
         if count > n:
             break
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(bits > WIDTHS[selector], out=over[1:])
-        fits = over[count:] == over[:-count]
-        chosen[: n - count + 1][fits] = selector
+        while 2 * length <= count:
+            widest = np.maximum(widest[:-length], widest[length:])
+            length *= 2
+        over = np.maximum(widest[: n - count + 1], widest[count - length :]) > WIDTHS[selector]
+        # selectors come down, so the least that fits is the last: 255 where it does not
+        first = chosen[: n - count + 1]
+        np.minimum(first, np.where(over, np.uint8(255), np.uint8(selector)), out=first)
     return chosen
 
 

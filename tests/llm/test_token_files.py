@@ -53,3 +53,13 @@ def test_odd_rows(spark, rows):
     assert [d for _, d, _ in found] == sorted((d for d, _, _ in rows), key=lambda d: (d is not None, d))
     assert [s for s, _, _ in found] == [sum(n for _, _, n in found[:k]) for k in range(len(found))]
     assert sum(n for *_, n in found) == sum(len((t or "").split()) + 1 for _, t, _ in rows)
+
+
+def test_the_widest_of_many_ids_is_found_by_doubling():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 119, 120, 240, 241, 700):
+        for most in (1, 2, 300, 60_000, 1 << 32):
+            ids = rng.integers(0, most, n).astype(np.uint64)
+            ids[n // 3 : n // 3 + 130] = 0
+            fits = lambda i, s, n=n, ids=ids: i + T.COUNTS[s] <= n and all(int(x).bit_length() <= T.WIDTHS[s] for x in ids[i : i + T.COUNTS[s]])
+            assert T._choices(ids).tolist() == [next((s for s in range(15) if fits(i, s)), T.ESCAPE) for i in range(n)]
