@@ -134,3 +134,18 @@ def test_what_an_account_says_travels_in_few_rows_to_those_who_hear_it(spark, mo
     assert O._told(packed).count() == 3 and rows() == want
     monkeypatch.setattr(O, "THINGS_A_ROW", 8)
     assert O._told(packed).count() > 6 and rows() == want
+
+
+def test_own_statements_are_not_sent_twice_and_say_the_same(spark, monkeypatch):
+    thumbs, follows = frames(spark)
+    thumbs = thumbs.union(spark.createDataFrame([(None, "x", "", 1), (None, "x", "red", -1)], thumbs.schema))
+    cells = lambda own: Counter(tuple(r) for r in O.opinions(thumbs, follows, own, near=True).select("viewer", "item_id", "tag", "n", "s", "m", "heard", "up", "down").collect())
+    followers = thumbs.join(follows.select(O.F.col("follower_id").alias("user_id")).distinct(), "user_id", "left_semi")
+    pairs = [(O.Own(), followers), (O.Own(lambda t: t == "", True), thumbs.where("tag = ''")), (O.Own(lambda t: t != "", True), thumbs.where("tag <> ''")), (O.Own(None, True), thumbs)]
+    for some, each in pairs:
+        assert cells(some) == cells(each)
+    monkeypatch.setattr(O, "STATEMENTS_A_PIECE", 1)
+    for some, each in pairs[:2]:
+        assert cells(some) == cells(each)
+    plan = O.squared_size(thumbs, follows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_agg") + plan.count("collect_list(struct(tag") > 0 and "LeftSemi" not in plan
