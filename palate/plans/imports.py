@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import opinions
 from ..sources import exports as X
 from ..sources import snapshots as Z
 from ..sources.derived import run_sql, table
@@ -299,8 +300,10 @@ S18 = """
 
 def s19_results(spark, sf_dir):
     """What is said to every viewer as a result text, without a plot."""
-    scores = table(spark, sf_dir, "scores").withColumns({"kind": F.lit("score"), "point": F.lit(None).cast("array<double>")})
-    texts = Z.write_results(scores)
+    found = opinions.scored(opinions.opinions(*(table(spark, sf_dir, n) for n in ("thumbs", "follows")), near=True))
+    scores = found.withColumns({"kind": F.lit("score"), "point": F.lit(None).cast("array<double>")})
+    # what lies in one piece is written where it lies
+    texts = Z.write_results(scores.where("pieces = 1"), "share", "piece").unionByName(Z.write_results(scores.where("pieces > 1")))
     return texts.select("viewer", F.expr("size(map_keys(from_json(text, 'scores map<string, struct<score: double>>').scores))").cast("long").alias("n_scores"), F.get_json_object("text", "$.viewer").alias("named"))
 
 

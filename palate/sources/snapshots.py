@@ -57,13 +57,14 @@ def read_snapshots(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return follows.distinct(), good.select("viewer", "user_id", "item_id", "tag", "value")
 
 
-def write_results(fitted: DataFrame) -> DataFrame:
-    """(viewer, text) of fitted rows (kind 'score' or 'plot', see ``operators.taste``)."""
+def write_results(fitted: DataFrame, *keys: str) -> DataFrame:
+    """(viewer, text) of fitted rows (kind 'score' or 'plot', see ``operators.taste``). ``keys``: by what rows lie, where all
+    of a viewer have the same of it, so that they are put together where they are."""
     score = F.struct("score", F.col("conf").alias("confidence"), "applies")
     of = lambda when, key, value: F.map_from_entries(F.collect_list(F.when(when, F.struct(key.alias("key"), value.alias("value")))))
     thing = (F.col("kind") == "plot") & F.col("item_id").isNotNull()
     attribute = (F.col("kind") == "plot") & F.col("tag").isNotNull()
-    maps = fitted.where("kind in ('score', 'plot')").groupBy("viewer").agg(
+    maps = fitted.where("kind in ('score', 'plot')").groupBy(*keys, "viewer").agg(
         of(F.col("kind") == "score", ratable(F.col("item_id"), F.col("tag")), score).alias("scores"),
         of(thing, F.col("item_id"), F.col("point")).alias("things"),
         of(attribute, F.col("tag"), F.col("point")).alias("attributes"),
