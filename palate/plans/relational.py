@@ -553,6 +553,16 @@ def _strength_places(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     return placed(found.where("pieces = 1"), "share", "piece", "tag", "viewer").unionByName(placed(found.where("pieces > 1"), "tag", "viewer"))
 
 
+def _attributes(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
+    """Attributes that a viewer hears or gives, each counted where it lies."""
+    found = opinions.opinions(thumbs, follows, opinions.Own(lambda tag: tag != "", everybody=True), near=True).where("tag <> ''")
+    # a key without a name may come heard and own apart
+    keys = found.groupBy("share", "piece", "viewer", "item_id", "tag").agg(F.lit(1).alias("one"))
+    # what accounts without a name hear and give may lie in two shares
+    nameless = F.count_distinct(F.when(F.col("viewer").isNull(), F.struct("item_id", "tag")))
+    return keys.groupBy("viewer").agg(F.when(F.col("viewer").isNull(), nameless).otherwise(F.count("*")).alias("attributes"))
+
+
 def _with_items(run):
     return lambda spark, sf_dir: run(*(table(spark, sf_dir, n) for n in ("thumbs", "follows", "items")))
 
@@ -594,6 +604,7 @@ BUILT = {
     "p04_visible_thumbs": _on_thumbs(opinions.visible),
     "p11_hide_rated": _on_thumbs(_hide_rated),
     "p12_carried_attributes": _on_thumbs(_carried_attributes),
+    "u02_attributes": _on_thumbs(_attributes),
 }
 
 

@@ -30,6 +30,11 @@ HEARD = [(f, *t) for f, g in FOLLOWS for t in THUMBS if g is not None and t[0] =
 SAID = {(f, i, g) for f, _, i, g, _ in HEARD} | {(f, i, "") for f, _, i, _, _ in HEARD}
 
 
+def test_attributes_heard_or_given(frames):
+    named = {x for x in SAID | {t[:3] for t in THUMBS} if x[2]}
+    assert Counter(tuple(r) for r in relational._attributes(*frames).collect()) == Counter(Counter(v for v, _, _ in named).items())
+
+
 def test_result_texts_are_written_where_rows_lie(frames):
     scores = O.scored(O.opinions(*frames, near=True)).where("item_id IS NOT NULL AND tag IS NOT NULL").selectExpr("*", "'score' AS kind", "cast(null AS array<double>) AS point")
     whole = scores.where("pieces = 1")
@@ -39,7 +44,7 @@ def test_result_texts_are_written_where_rows_lie(frames):
     assert got == {v: {i + ("\0" + g if g else "") for u, i, g in said if u == v} for v, _, _ in said}
 
 
-@pytest.mark.parametrize("name", ["s19_results"])
+@pytest.mark.parametrize("name", ["u02_attributes", "s19_results"])
 def test_what_is_heard_stays_with_its_share(spark, small, name):
     plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     sent = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
