@@ -563,6 +563,16 @@ def _attributes(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     return keys.groupBy("viewer").agg(F.when(F.col("viewer").isNull(), nameless).otherwise(F.count("*")).alias("attributes"))
 
 
+def _candidates(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
+    """Who hears or says anything of a thing, each pair counted where it lies: what is said of it does not travel."""
+    things = thumbs.select("user_id", "item_id", F.lit("").alias("tag"), F.lit(1).alias("value")).distinct()
+    found = opinions.opinions(things, follows, opinions.Own(everybody=True), near=True)
+    pairs = found.groupBy("share", "piece", "viewer", "item_id").agg(F.lit(1).alias("one"))
+    # accounts without a name are one, in whatever shares they lie
+    nameless = F.max(F.when(F.col("viewer").isNull(), 1).otherwise(0))
+    return pairs.groupBy("item_id").agg((F.count("viewer") + nameless).alias("viewers"))
+
+
 def _with_items(run):
     return lambda spark, sf_dir: run(*(table(spark, sf_dir, n) for n in ("thumbs", "follows", "items")))
 
@@ -604,6 +614,7 @@ BUILT = {
     "p04_visible_thumbs": _on_thumbs(opinions.visible),
     "p11_hide_rated": _on_thumbs(_hide_rated),
     "p12_carried_attributes": _on_thumbs(_carried_attributes),
+    "u01_candidates": _on_thumbs(_candidates),
     "u02_attributes": _on_thumbs(_attributes),
 }
 
