@@ -553,6 +553,11 @@ def _strength_places(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     return placed(found.where("pieces = 1"), "share", "piece", "tag", "viewer").unionByName(placed(found.where("pieces > 1"), "tag", "viewer"))
 
 
+def _strength(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
+    strength = F.round(F.sqrt((0.5 + 1.0 * (F.col("applies") - 0.5)) * ((1 + F.col("score")) / 2)), 6)
+    return _scored(thumbs, follows).where("tag <> ''").select("viewer", "item_id", "tag", strength.alias("strength"))
+
+
 def _attributes(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     """Attributes that a viewer hears or gives, each counted where it lies."""
     found = opinions.opinions(thumbs, follows, opinions.Own(lambda tag: tag != "", everybody=True), near=True).where("tag <> ''")
@@ -598,6 +603,7 @@ def _stamp_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Spark's own way to some of the results; their SQL is the check alone.
 BUILT = {
+    "attribute_strength": _on_thumbs(_strength),
     "attribute_strength_places": _on_thumbs(_strength_places),
     "a02_squared_size": _on_thumbs(opinions.squared_size),
     "a14_stamp_signature": _stamp_signature,

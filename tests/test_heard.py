@@ -40,6 +40,11 @@ def test_candidates_of_everybody(frames):
     assert Counter(tuple(r) for r in relational._candidates(*frames).collect()) == Counter(Counter(i for _, i in pairs).items())
 
 
+def test_strengths(frames):
+    found = relational._strength(*frames).collect()
+    assert {(r.viewer, r.item_id, r.tag) for r in found} == {x for x in SAID if x[2]} and all(0 < r.strength < 1 for r in found)
+
+
 def test_result_texts_are_written_where_rows_lie(frames):
     scores = O.scored(O.opinions(*frames, near=True)).where("item_id IS NOT NULL AND tag IS NOT NULL").selectExpr("*", "'score' AS kind", "cast(null AS array<double>) AS point")
     whole = scores.where("pieces = 1")
@@ -49,7 +54,7 @@ def test_result_texts_are_written_where_rows_lie(frames):
     assert got == {v: {i + ("\0" + g if g else "") for u, i, g in said if u == v} for v, _, _ in said}
 
 
-@pytest.mark.parametrize("name", ["u01_candidates", "u02_attributes", "s19_results"])
+@pytest.mark.parametrize("name", ["u01_candidates", "u02_attributes", "attribute_strength", "s19_results"])
 def test_what_is_heard_stays_with_its_share(spark, small, name):
     plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     sent = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
