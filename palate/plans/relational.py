@@ -578,6 +578,11 @@ def _candidates(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     return pairs.groupBy("item_id").agg((F.count("viewer") + nameless).alias("viewers"))
 
 
+def _hidden_by_eye(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
+    found = opinions.opinions(thumbs, follows, opinions.Own(OF_THINGS), near=True).where("tag = '' AND heard > 0")
+    return found.groupBy("viewer").agg(F.count("*").alias("listed"), (F.count(F.when(F.col("up") + F.col("down") == 0, 1)) == 0).alias("hidden_by_eye"))
+
+
 def _with_items(run):
     return lambda spark, sf_dir: run(*(table(spark, sf_dir, n) for n in ("thumbs", "follows", "items")))
 
@@ -620,6 +625,7 @@ BUILT = {
     "p04_visible_thumbs": _on_thumbs(opinions.visible),
     "p11_hide_rated": _on_thumbs(_hide_rated),
     "p12_carried_attributes": _on_thumbs(_carried_attributes),
+    "p24_hidden_by_eye": _on_thumbs(_hidden_by_eye),
     "u01_candidates": _on_thumbs(_candidates),
     "u02_attributes": _on_thumbs(_attributes),
 }

@@ -40,6 +40,14 @@ def test_candidates_of_everybody(frames):
     assert Counter(tuple(r) for r in relational._candidates(*frames).collect()) == Counter(Counter(i for _, i in pairs).items())
 
 
+def test_hidden_by_eye(frames):
+    rated = {t[:2] for t in THUMBS if t[2] == "" and None not in t[:2]}
+    listed = {x[:2] for x in SAID if x[2] == ""}
+    want = {v: (sum(x[0] == v for x in listed), all(x in rated for x in listed if x[0] == v)) for v, _ in listed}
+    got = [tuple(r) for r in relational._hidden_by_eye(*frames).collect()]
+    assert {v: x for v, *x in got} == {v: list(x) for v, x in want.items()} and len(got) == len(want)
+
+
 def test_strengths(frames):
     found = relational._strength(*frames).collect()
     assert {(r.viewer, r.item_id, r.tag) for r in found} == {x for x in SAID if x[2]} and all(0 < r.strength < 1 for r in found)
@@ -54,7 +62,7 @@ def test_result_texts_are_written_where_rows_lie(frames):
     assert got == {v: {i + ("\0" + g if g else "") for u, i, g in said if u == v} for v, _, _ in said}
 
 
-@pytest.mark.parametrize("name", ["u01_candidates", "u02_attributes", "attribute_strength", "s19_results"])
+@pytest.mark.parametrize("name", ["u01_candidates", "u02_attributes", "p24_hidden_by_eye", "attribute_strength", "s19_results"])
 def test_what_is_heard_stays_with_its_share(spark, small, name):
     plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     sent = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
