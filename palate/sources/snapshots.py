@@ -8,10 +8,15 @@ row; viewers are spread over tasks.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import opinions
 
 JOIN = "\0"
 SCHEMA = "struct<users: array<string>, follows: map<string, array<string>>, ratings: map<string, map<string, variant>>>"
@@ -26,16 +31,43 @@ def write_snapshots(thumbs: DataFrame, follows: DataFrame) -> DataFrame:
     edges = follows.select(F.col("follower_id").alias("viewer"), F.col("followed_id").alias("user_id")).distinct()
     own = edges.select("viewer", F.col("viewer").alias("user_id")).distinct()
     who = edges.unionByName(own).distinct()
-    # an account's ratings are put together once, not once for each of its readers
+    # an account's ratings are put together and spelled once, not once for each of its readers, and travel once for those
+    # who follow alike
     rated = F.map_from_entries(F.collect_list(F.struct(ratable(F.col("item_id"), F.col("tag")), "value")))
-    ratings = thumbs.groupBy("user_id").agg(rated.alias("rated"))
-    empty = F.expr("cast(map() as map<string, int>)")
-    per_user = who.join(ratings, "user_id", "left").withColumn("rated", F.coalesce("rated", empty))
+    ratings = thumbs.groupBy("user_id").agg(F.to_json(rated).alias("rated"))
+    dealt = who.join(opinions.shares(follows), "viewer", "left").withColumn("share", F.coalesce("share", F.xxhash64("viewer")))
+    readers = dealt.groupBy("user_id", "share").agg(F.collect_list("viewer").alias("viewers"))
+    per_share = readers.join(ratings, "user_id", "left").withColumn("rated", F.coalesce("rated", F.lit("{}"))).repartition(opinions.tasks(thumbs), "share")
+    per_user = per_share.select("share", "user_id", "rated", F.explode("viewers").alias("viewer"))
     followed = F.array_sort(F.collect_list(F.when(F.col("user_id") != F.col("viewer"), F.col("user_id"))))
-    whole = per_user.groupBy("viewer").agg(
-        F.array_sort(F.collect_list("user_id")).alias("users"), followed.alias("followed"), F.map_from_entries(F.collect_list(F.struct("user_id", "rated"))).alias("ratings")
-    )
-    return whole.select("viewer", F.to_json(F.struct("users", F.create_map("viewer", "followed").alias("follows"), "ratings")).alias("text"))
+    spelled = F.concat(_spelled(F.col("user_id")), F.lit(":"), F.col("rated"))
+    whole = per_user.groupBy("share", "viewer").agg(F.array_sort(F.collect_list("user_id")).alias("users"), followed.alias("followed"), F.collect_list(spelled).alias("ratings"))
+    follows_ = F.concat(_spelled(F.col("viewer")), F.lit(":"), F.to_json("followed"))
+    parts = [F.lit('{"users":'), F.to_json("users"), F.lit(',"follows":{'), follows_, F.lit('},"ratings":{'), F.array_join("ratings", ","), F.lit("}}")]
+    return whole.select("viewer", F.concat(*parts).alias("text"))
+
+
+def _spelled(name: Column) -> Column:
+    """A text as JSON spells it."""
+    listed = F.to_json(F.array(name))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Those ``rows`` whose item_id and tag can be names, the tag also ''; each name is looked at once a batch, where rows lie."""
+
+    def run(batches):
+        known = lru_cache(1 << 18)(text.is_normalized)
+        for batch in batches:
+            ok = None
+            for name, bare in (("item_id", False), ("tag", True)):
+                coded = batch.column(name).dictionary_encode()
+                fine = pa.array([bare and x == "" or x is not None and known(x) for x in coded.dictionary.to_pylist()] or [False])
+                mask = fine.take(coded.indices).fill_null(False)
+                ok = mask if ok is None else pc.and_(ok, mask)
+            yield batch.filter(ok)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def read_snapshots(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +82,7 @@ def read_snapshots(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rated = rated.select(
         "viewer", "user_id", F.col("parts")[0].alias("item_id"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("tag"), F.size("parts").alias("n"), number.cast("int").alias("value")
     )
-    names = rated.select(F.explode(F.array("item_id", "tag")).alias("name")).distinct()
-    ok = names.where((F.col("name") == "") | text.column(lambda n: "y" if text.is_normalized(n) else None)("name").isNotNull())
-    good = rated.join(ok.where("name <> ''").withColumnRenamed("name", "item_id"), "item_id").join(ok.withColumnRenamed("name", "tag"), "tag")
-    good = good.where((F.col("n") == 1) | (F.col("tag") != ""))
+    good = _named(rated).where((F.col("n") == 1) | (F.col("tag") != ""))
     return follows.distinct(), good.select("viewer", "user_id", "item_id", "tag", "value")
 
 

@@ -38,3 +38,18 @@ def test_ratings_are_put_together_before_they_go_to_readers(spark):
     # the grouping of ratings lies below the join with their readers
     by_reader = [x for x in plan.splitlines() if "Aggregate [viewer" in x and "user_id" in x.split("]")[0]]
     assert "Aggregate [user_id" in plan and not [x for x in by_reader if "map_from_entries" in x]
+
+
+def test_ratings_are_spelled_once_and_read_once(spark):
+    edges = [(f"v{v:02d}", f"v{(v + k) % 60:02d}") for v in range(60) for k in range(1, 11)] + [("he \"said\" \\ x", "v01")]
+    thumbs = [(f"v{v:02d}", f"thing {t}", tag, 1 if t % 2 else -1) for v in range(60) for t in range(3) for tag in ("", "cozy")]
+    df = spark.createDataFrame(thumbs, "user_id string, item_id string, tag string, value int")
+    texts = Z.write_snapshots(df, spark.createDataFrame(edges, "follower_id string, followed_id string"))
+    for r in texts.collect():
+        followed = sorted(b for a, b in edges if a == r.viewer)
+        of = lambda u: {i + ("\0" + g if g else ""): v for w, i, g, v in thumbs if w == u}
+        assert json.loads(r.text) == {"users": sorted([r.viewer, *followed]), "follows": {r.viewer: followed}, "ratings": {u: of(u) for u in [r.viewer, *followed]}}
+    good = Z.read_snapshots(texts)[1]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    # texts are made once, and names do not travel to be looked at
+    assert good.count() == 60 * 11 * 6 + 6 and "hashpartitioning(name" not in plan
