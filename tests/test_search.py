@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from palate.functions import text as X
+from palate.operators import opinions as O
 from palate.operators import search as S
 
 
@@ -165,3 +166,29 @@ def test_registered_suggestions_equal_brute_force(spark, small):
             want |= {(user, item, k, t) for k, t in enumerate(offered, 1)}
     got = [tuple(r) for r in registry.queries()["n09_suggestions"](spark, small).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_lists_of_what_is_heard_are_those_of_the_joined_tables(spark):
+    thumbs = [("a", "blue anvil", "", 1), ("a", "blue anvil", "cozy", 1), ("b", "blue anvil", "cozy", -1), ("b", "cozy room", "dark", 1), ("v", "blue anvil", "dark", 1), ("v", "own thing", "", -1), ("w", "cozy room", "", 1), ("x", "x thing", "", 1)]
+    follows = [("v", "a"), ("v", "b"), ("w", "b"), ("x", "mute"), ("v", None)]
+    df = spark.createDataFrame(thumbs, "user_id string, item_id string, tag string, value int")
+    edges = spark.createDataFrame(follows, "follower_id string, followed_id string")
+    related = spark.createDataFrame([("cozy", "dark", 0.6), ("warm", "cozy", 0.5), ("dark", "cozy", 0.4)], "tag string, other string, rho double")
+    said = O.scored(O.opinions(df, edges, near=True)).selectExpr("viewer", "item_id", "tag", "conf", "score", "applies")
+    asked = ["cozy", "warm", "#drak", "blue cozy anvil", "own"]
+    rows = lambda found: sorted(map(repr, found.collect()))
+    want = rows(S.search_each(S.entries(said, df), asked, related))
+    heard = S.heard_entries(df, edges, asked, related)
+    assert rows(S.search_each(heard, asked)) == want and want
+    plan = heard._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(viewer" not in plan and "hashpartitioning(item_id" not in plan
+
+
+def test_rows_with_the_same_related_attributes_share_them():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("other", pa.string()), ("rho", pa.float64())]))
+    pair = lambda *x: dict(zip(("tag", "other", "rho"), x, strict=True))
+    one, two = pair("a", "b", 0.2), pair("a", "c", -0.6)
+    first, none, empty, last = S.near_pairs(pa.array([[one, two], None, [], [one, two]], kind))
+    assert first == ((("a", "c", -0.6), ("a", "b", 0.2)), {"b", "c"}) and last is first and none == empty == ((), set())
